@@ -7,10 +7,10 @@ segment s holds at least k hashes). The Manhattan distance of two embeddings,
 bit_count(x_k ^ y_k) over the levels, never exceeds the symmetric difference of
 the sets, and a similarity of at least t allows (a + b)(1 - t)/(1 + t) at most:
 the bound loses no pair. It is the residual condition of the range join; the
-join's equality is a grid of (rare shingle, size band): two sets of similarity t
-share a shingle among the first a - ceil(t a) + 1 of either in one global order
-by frequency, and sizes within a factor t lie in the same or the next band. What
-passes is verified exactly on the whole sets.
+join's grid cell is a rare shingle: two sets of similarity t share one among the
+first a - ceil(t a) + 1 of either in one global order by frequency; sizes within a
+factor t and embeddings within the distance are its ranges. What passes is
+verified exactly on the whole sets.
 
 Popcounts alone cannot block at a similarity this low (see README), hence the
 rare shingle in the grid. Equal sets are one class before the join and expanded
@@ -22,8 +22,6 @@ partner; exact copies of a row count once.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,57 +70,47 @@ def manhattan(a: str, b: str) -> Column:
 
 
 def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Members (``key``, ``class_id``) and one representative set a class (``class_id``, ``size``, ``hashes``)."""
+    """Members (``key``, ``class_id``) and one representative set a class, checkpointed and numbered."""
     ws = df.filter(F.col(text).isNotNull()).select(F.col(key), split_words(F.col(text)).alias("ws")).filter(F.size("ws") >= WORDS)
     once = ws.select(key, F.sort_array(shingles(F.col("ws"))).alias("hashes"))
     # Two independent hashes of the sorted set and its size name the class.
-    members = once.select(key, F.concat_ws(":", F.xxhash64("hashes"), F.hash("hashes"), F.size("hashes")).alias("class_id"), "hashes")
-    sets = members.select("class_id", "hashes").distinct().withColumn("size", F.size("hashes"))
-    return members.select(key, "class_id").distinct(), sets
+    once = once.withColumn("class_id", F.concat_ws(":", F.xxhash64("hashes"), F.hash("hashes"), F.size("hashes")))
+    sets = once.select("class_id", "hashes").distinct().select("class_id", F.size("hashes").alias("size"), "hashes")
+    sets = shared_checkpoint(sets.withColumn("v", popcounts(F.col("hashes"))))
+    return once.select(key, "class_id").distinct(), sets.withColumn("num", F.monotonically_increasing_id())
 
 
 def similar_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``class_a, class_b, similarity`` of every two different sets of at least that similarity."""
     t = similarity
-    rows = sets.select("class_id", "size", F.explode("hashes").alias("h"))
-    frequency = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    shared = frequency.filter("df > 1")
-    # Only shingles of two sets or more can meet; the others still hold their place in the order,
-    # which is why the prefix is counted from the end: it keeps all but the (ceil(t a) - 1) commonest.
-    ranked = (
-        rows.join(shared, "h").groupBy("class_id", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("common"))
-    )
+    rows = sets.select("num", F.explode("hashes").alias("h"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Only shingles of two sets or more can meet; the others come first in the order and take up
+    # places of the prefix, which is therefore counted from the end: all but the ceil(t a) - 1 commonest.
+    ranked = rows.join(shared, "h").groupBy("num").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    ranked = ranked.join(sets.select("num", "size", "v"), "num")
     keep = F.size("common") - (F.ceil(F.col("size") * F.lit(t) - F.lit(1e-9)).cast("int") - 1)
-    prefix = ranked.filter(keep > 0).select("class_id", "size", F.explode(F.slice("common", F.lit(1), keep)).alias("k"))
-    prefix = prefix.select("class_id", "size", F.col("k.h").alias("h"))
-    embedded = prefix.join(sets.select("class_id", popcounts(F.col("hashes")).alias("v")), "class_id")
-    embedded = embedded.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(t)) + F.lit(1e-9)))
-    left = embedded.select(F.col("class_id").alias("class_a"), F.col("size").alias("size_a"), F.col("v").alias("va"), "h", "band")
-    right = embedded.select(
-        F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("v").alias("vb"), "h",
-        F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"),
-    )
-    ahead = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("class_a") < F.col("class_b")))
-    total = F.col("size_a") + F.col("size_b")
-    within = manhattan("va", "vb") <= total * F.lit((1 - t) / (1 + t)) + F.lit(1e-9)
-    long_enough = F.col("size_a") >= F.col("size_b") * F.lit(t) - F.lit(1e-9)
-    met = left.join(right, ["h", "band"]).filter(ahead & long_enough & within)
-    pairs = met.select("class_a", "class_b").distinct()
-    a = sets.select(F.col("class_id").alias("class_a"), F.col("hashes").alias("ha"))
-    b = sets.select(F.col("class_id").alias("class_b"), F.col("hashes").alias("hb"))
-    both = pairs.join(a, "class_a").join(b, "class_b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.select(
-        "class_a", "class_b", (common / (F.size("ha") + F.size("hb") - common)).alias("similarity")
-    ).filter(F.col("similarity") >= t - 1e-12)
+    prefix = ranked.filter(keep > 0).select("num", "size", "v", F.explode(F.slice("common", F.lit(1), keep)).alias("k"))
+    prefix = prefix.select(F.col("k.h").alias("h"), "num", "size", *(F.col(f"v.l{k}").alias(f"l{k}") for k in range(LEVELS)))
+    # Both sides are one plan, so its exchange is made once and reused.
+    a, b = prefix.alias("a"), prefix.alias("b")
+    smaller, larger = F.col("a.size"), F.col("b.size")
+    ahead = (smaller < larger) | ((smaller == larger) & (F.col("a.num") < F.col("b.num")))
+    within = manhattan("a", "b") <= (smaller + larger) * F.lit((1 - t) / (1 + t)) + F.lit(1e-9)
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & ahead & (smaller >= larger * F.lit(t) - F.lit(1e-9)) & within)
+    pairs = met.select(F.col("a.num").alias("x"), F.col("b.num").alias("y")).distinct()
+    first = sets.select(F.col("num").alias("x"), F.col("class_id").alias("class_a"), F.col("hashes").alias("ha"))
+    second = sets.select(F.col("num").alias("y"), F.col("class_id").alias("class_b"), F.col("hashes").alias("hb"))
+    both = pairs.join(first, "x").join(second, "y").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+    found = both.select("class_a", "class_b", (F.col("common") / (F.size("ha") + F.size("hb") - F.col("common"))).alias("similarity"))
+    return found.filter(F.col("similarity") >= t - 1e-12)
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b`` of every two records of at least that similarity, the smaller key first."""
     members, sets = classes(df, key, text)
     members = members.withColumnRenamed(key, "_k")
-    links = similar_classes(shared_checkpoint(sets), similarity)
+    links = similar_classes(sets, similarity)
     left = members.select(F.col("_k").alias("x"), F.col("class_id").alias("class_a"))
     right = members.select(F.col("_k").alias("y"), F.col("class_id").alias("class_b"))
     across = links.join(left, "class_a").join(right, "class_b").select("x", "y")
@@ -144,7 +132,7 @@ def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     """One row a section chunk: its class of equal shingle sets and the number of other classes it is linked to."""
     chunks = read_table(spark, folder, "chunks", "chunk_id", "kind", "text").filter("kind = 'section'")
     members, sets = classes(chunks, "chunk_id", "text")
-    links = similar_classes(shared_checkpoint(sets))
+    links = similar_classes(sets)
     ends = links.select(F.col("class_a").alias("class_id")).unionAll(links.select(F.col("class_b").alias("class_id")))
     return members.join(ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links")), "class_id", "left").select(
         "chunk_id", "class_id", F.coalesce("links", F.lit(0)).alias("links")
