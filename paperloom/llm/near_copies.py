@@ -30,6 +30,9 @@ from paperloom.sources.tables import read_table, shared_checkpoint
 WORDS = 3
 SIMILARITY = 0.60
 LEVELS = 4
+LOW = 0xFFFFFFFF
+#: Most candidate pairs (8 bytes a set) whose numbers are broadcast.
+BROADCAST_PAIRS = 500_000
 
 
 def split_words(text: Column) -> Column:
@@ -83,22 +86,29 @@ def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
 def similar_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``class_a, class_b, similarity`` of every two different sets of at least that similarity."""
     t = similarity
-    rows = sets.select("num", F.explode("hashes").alias("h"))
+    # The grid goes by the low half of a hash: two shingles that share it cost a comparison, never a result.
+    rows = sets.select("num", F.explode(F.transform("hashes", lambda h: h.bitwiseAND(F.lit(LOW)))).alias("h"))
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # Only shingles of two sets or more can meet; the others come first in the order and take up
     # places of the prefix, which is therefore counted from the end: all but the ceil(t a) - 1 commonest.
-    ranked = rows.join(shared, "h").groupBy("num").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    order = F.shiftleft(F.least("df", F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.col("h"))
+    ranked = rows.join(shared, "h").groupBy("num").agg(F.sort_array(F.collect_list(order)).alias("common"))
     ranked = ranked.join(sets.select("num", "size", "v"), "num")
     keep = F.size("common") - (F.ceil(F.col("size") * F.lit(t) - F.lit(1e-9)).cast("int") - 1)
     prefix = ranked.filter(keep > 0).select("num", "size", "v", F.explode(F.slice("common", F.lit(1), keep)).alias("k"))
-    prefix = prefix.select(F.col("k.h").alias("h"), "num", "size", *(F.col(f"v.l{k}").alias(f"l{k}") for k in range(LEVELS)))
+    prefix = prefix.select(F.col("k").bitwiseAND(F.lit(LOW)).alias("h"), "num", "size", *(F.col(f"v.l{k}").alias(f"l{k}") for k in range(LEVELS)))
     # Both sides are one plan, so its exchange is made once and reused.
     a, b = prefix.alias("a"), prefix.alias("b")
     smaller, larger = F.col("a.size"), F.col("b.size")
     ahead = (smaller < larger) | ((smaller == larger) & (F.col("a.num") < F.col("b.num")))
     within = manhattan("a", "b") <= (smaller + larger) * F.lit((1 - t) / (1 + t)) + F.lit(1e-9)
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & ahead & (smaller >= larger * F.lit(t) - F.lit(1e-9)) & within)
-    pairs = met.select(F.col("a.num").alias("x"), F.col("b.num").alias("y")).distinct()
+    pairs = shared_checkpoint(met.select(F.col("a.num").alias("x"), F.col("b.num").alias("y")).distinct())
+    # Only sets that occur in a pair are moved; their numbers are broadcast up to BROADCAST_PAIRS, joined by shuffle beyond.
+    asked = pairs.select(F.col("x").alias("num")).unionAll(pairs.select(F.col("y").alias("num"))).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:
+        asked = F.broadcast(asked)
+    sets = sets.select("num", "class_id", "hashes").join(asked, "num", "left_semi")
     first = sets.select(F.col("num").alias("x"), F.col("class_id").alias("class_a"), F.col("hashes").alias("ha"))
     second = sets.select(F.col("num").alias("y"), F.col("class_id").alias("class_b"), F.col("hashes").alias("hb"))
     both = pairs.join(first, "x").join(second, "y").withColumn("common", F.size(F.array_intersect("ha", "hb")))

@@ -135,13 +135,16 @@ def nearest(
 ) -> DataFrame:
     """``id, neighbour``: the k nearest others of every usable vector with a cosine of at least ``min_cosine``."""
     spark = df.sparkSession
-    rows = shared_checkpoint(usable(df, key, vector, dims))
-    members = rows.select("id", "direction").distinct()
+    rows = usable(df, key, vector, dims)
+    members = shared_checkpoint(rows.select("id", "direction").distinct())
     classes = rows.groupBy("direction").agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec"), F.min("id") != F.max("id"))
     classes = shared_checkpoint(classes.toDF("direction", "id", "vec", "many"))
     count = classes.count()
     depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(max(1, count) / leaf_rows))))
-    sample = classes.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("vec").toPandas()["vec"]
+    # Rows whose hash falls under SAMPLE_ROWS / count: that many on average, whatever the number of partitions.
+    share = min(1.0, SAMPLE_ROWS / max(1, count))
+    sample = classes.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "vec").toPandas()
+    sample = sample.sort_values("id", ignore_index=True)["vec"]
     points = _unit(np.frombuffer(b"".join(map(bytes, sample)), np.float32).reshape(-1, dims)) if len(sample) else np.zeros((0, dims), np.float32)
     forest = spark.sparkContext.broadcast(Forest(points, depth, trees))
 
