@@ -29,17 +29,31 @@ def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.distinct()
 
 
+#: Removes the shuffle files of an execution when it ends; what follows reads the checkpoint instead.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_checkpoint(df: DataFrame, fallback: str = "/tmp/paperloom-checkpoints") -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
     The folder named in ``spark.checkpoint.dir`` is used when the session has
-    it; only an unset one (tests, local runs) falls back to ``fallback``.
+    it; only an unset one (tests, local runs) falls back to ``fallback``. The
+    shuffle files behind the checkpoint are no longer needed and are removed.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # The setting is read when a frame is made, hence the new one.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def has_rows(df: DataFrame) -> bool:
