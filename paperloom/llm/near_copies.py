@@ -94,9 +94,11 @@ def similar_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFram
     order = F.shiftleft(F.least("df", F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.col("h"))
     ranked = rows.join(shared, "h").groupBy("num").agg(F.sort_array(F.collect_list(order)).alias("common"))
     ranked = ranked.join(sets.select("num", "size", "v"), "num")
+    low = F.lit(LOW)
     keep = F.size("common") - (F.ceil(F.col("size") * F.lit(t) - F.lit(1e-9)).cast("int") - 1)
-    prefix = ranked.filter(keep > 0).select("num", "size", "v", F.explode(F.slice("common", F.lit(1), keep)).alias("k"))
-    prefix = prefix.select(F.col("k").bitwiseAND(F.lit(LOW)).alias("h"), "num", "size", *(F.col(f"v.l{k}").alias(f"l{k}") for k in range(LEVELS)))
+    rare = F.transform(F.slice("common", F.lit(1), keep), lambda k: k.bitwiseAND(low))
+    grid = shared_checkpoint(ranked.filter(keep > 0).select("num", "size", "v", rare.alias("rare")))
+    prefix = grid.select(F.explode("rare").alias("h"), "num", "size", *(F.col(f"v.l{k}").alias(f"l{k}") for k in range(LEVELS)))
     # Both sides are one plan, so its exchange is made once and reused.
     a, b = prefix.alias("a"), prefix.alias("b")
     smaller, larger = F.col("a.size"), F.col("b.size")
