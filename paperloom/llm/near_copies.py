@@ -29,7 +29,7 @@ from paperloom.sources.tables import read_table, shared_checkpoint
 
 WORDS = 3
 SIMILARITY = 0.60
-LEVELS = 4
+LEVELS = 3
 LOW = 0xFFFFFFFF
 #: Most candidate pairs (8 bytes a set) whose numbers are broadcast.
 BROADCAST_PAIRS = 500_000
@@ -121,7 +121,7 @@ def similar_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def similar_pairs(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b`` of every two records of at least that similarity, the smaller key first."""
     members, sets = classes(df, key, text)
-    members = members.withColumnRenamed(key, "_k")
+    members = shared_checkpoint(members.withColumnRenamed(key, "_k"))
     links = similar_classes(sets, similarity)
     left = members.select(F.col("_k").alias("x"), F.col("class_id").alias("class_a"))
     right = members.select(F.col("_k").alias("y"), F.col("class_id").alias("class_b"))
