@@ -2,8 +2,8 @@
 
 Method: a record's fingerprint is the set of 64-bit hashes of its three-word
 shingles. The segment-popcount embedding counts the fingerprint's bits in 64
-segments of the hash space (held thermometer-coded: bit s of level k says that
-segment s holds at least k hashes). The Manhattan distance of two embeddings,
+segments of the hash space (held as bit slices, compared in thermometer form: bit
+s of level k says that segment s holds at least k hashes). The Manhattan distance,
 bit_count(x_k ^ y_k) over the levels, never exceeds the symmetric difference of
 the sets, and a similarity of at least t allows (a + b)(1 - t)/(1 + t) at most:
 the bound loses no pair. It is the residual condition of the range join; the
@@ -29,7 +29,8 @@ from paperloom.sources.tables import read_table, shared_checkpoint
 
 WORDS = 3
 SIMILARITY = 0.60
-LEVELS = 3
+#: Binary digits of a segment's count; counts from 7 on are 7.
+DIGITS = 3
 LOW = 0xFFFFFFFF
 #: Most candidate pairs (8 bytes a set) whose numbers are broadcast.
 BROADCAST_PAIRS = 500_000
@@ -50,25 +51,36 @@ def shingles(ws: Column, words: int = WORDS) -> Column:
 
 
 def popcounts(hashes: Column) -> Column:
-    """Thermometer-coded counts of 64 segments, ``LEVELS`` longs."""
-    names = [f"l{k}" for k in range(LEVELS)]
+    """Counts of 64 segments in bit slices: bit s of digit k is digit k of the count of segment s."""
+    names = [f"d{k}" for k in range(DIGITS)]
     zero = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in names))
 
     def add(acc: Column, h: Column) -> Column:
-        # The segment is taken from high bits; the order of shingles below uses all of them.
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))
-        levels = [acc[names[0]].bitwiseOR(bit)]
-        for k in range(1, LEVELS):
-            levels.append(acc[names[k]].bitwiseOR(acc[names[k - 1]].bitwiseAND(bit)))
-        return F.struct(*(v.alias(n) for v, n in zip(levels, names)))
+        # The segment is the high end of a hash; the grid below uses its low end.
+        carry = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))
+        full = acc[names[0]].bitwiseAND(acc[names[1]]).bitwiseAND(acc[names[2]])
+        carry = carry.bitwiseAND(F.bitwise_not(full))
+        digits = []
+        for n in names:
+            digits.append(acc[n].bitwiseXOR(carry))
+            carry = acc[n].bitwiseAND(carry)
+        return F.struct(*(v.alias(n) for v, n in zip(digits, names)))
 
     return F.aggregate(hashes, zero, add)
 
 
+def levels(side: str) -> list[Column]:
+    """Thermometer form: bit s of level k (from 1) says that segment s counts k or more."""
+    d0, d1, d2 = (F.col(f"{side}.d{k}") for k in range(DIGITS))
+    low = d0.bitwiseOR(d1)
+    both = d0.bitwiseAND(d1)
+    return [low.bitwiseOR(d2), d1.bitwiseOR(d2), both.bitwiseOR(d2), d2, d2.bitwiseAND(low), d2.bitwiseAND(d1), d2.bitwiseAND(both)]
+
+
 def manhattan(a: str, b: str) -> Column:
     total = F.lit(0)
-    for k in range(LEVELS):
-        total = total + F.bit_count(F.col(f"{a}.l{k}").bitwiseXOR(F.col(f"{b}.l{k}")))
+    for x, y in zip(levels(a), levels(b)):
+        total = total + F.bit_count(x.bitwiseXOR(y))
     return total
 
 
@@ -98,7 +110,7 @@ def similar_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFram
     keep = F.size("common") - (F.ceil(F.col("size") * F.lit(t) - F.lit(1e-9)).cast("int") - 1)
     rare = F.transform(F.slice("common", F.lit(1), keep), lambda k: k.bitwiseAND(low))
     grid = shared_checkpoint(ranked.filter(keep > 0).select("num", "size", "v", rare.alias("rare")))
-    prefix = grid.select(F.explode("rare").alias("h"), "num", "size", *(F.col(f"v.l{k}").alias(f"l{k}") for k in range(LEVELS)))
+    prefix = grid.select(F.explode("rare").alias("h"), "num", "size", *(F.col(f"v.d{k}").alias(f"d{k}") for k in range(DIGITS)))
     # Both sides are one plan, so its exchange is made once and reused.
     a, b = prefix.alias("a"), prefix.alias("b")
     smaller, larger = F.col("a.size"), F.col("b.size")
