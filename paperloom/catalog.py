@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("paperloom.operators.retrieval", "paperloom.operators.grids", "paperloom.plans.table_plan", "paperloom.operators.layout", "paperloom.operators.verification", "paperloom.operators.units")
+MODULES: tuple[str, ...] = ("paperloom.operators.retrieval", "paperloom.operators.grids", "paperloom.plans.table_plan", "paperloom.operators.layout", "paperloom.operators.verification", "paperloom.operators.hygiene", "paperloom.operators.evaluation", "paperloom.operators.units")
 
 
 def _gather(what: str) -> dict:

@@ -154,7 +154,7 @@ def retrieval_sentences(spark: SparkSession, folder: str) -> DataFrame:
     asked = questions(spark)
     best = top(bm25(rows, asked), 3).select("question_id", "chunk_id", F.col("rank").alias("source"))
     text = rows.join(F.broadcast(best), "chunk_id").join(F.broadcast(asked), "question_id")
-    cut = text.select("question_id", "question", "chunk_id", "source", F.posexplode(F.slice(sentences(F.col("text")), 1, 14)).alias("at", "sentence"))
+    cut = text.select("question_id", "question", "chunk_id", "source", F.posexplode(sentences(F.col("text"))).alias("at", "sentence"))
     q = F.array_distinct(tokens(F.col("question")))
     score = F.round(F.size(F.array_intersect(q, tokens(F.col("sentence")))) / F.size(q), 6)
     order = Window.partitionBy("question_id", "chunk_id").orderBy(F.desc("score"), "at")

@@ -191,7 +191,7 @@ def verify_grounding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (verify_content, verify_embed, verify_assign, verify_order, verify_integrity, verify_rollup, verify_grounding)}
 
-_W = "unnest(regexp_extract_all(lower({0}), '\\p{{N}}[\\p{{N}}.,]*\\p{{N}}|[\\p{{L}}\\p{{N}}]+'))"
+_W = "unnest(regexp_extract_all(lower(replace({0}, 'İ', 'i' || chr(775))), '\\p{{N}}[\\p{{N}}.,]*\\p{{N}}|[\\p{{L}}\\p{{N}}]+'))"
 _DIFF = """f AS (SELECT {k}, word, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b USING ({k}, word)),
     g AS (SELECT {k}, sum(greatest(x - y, 0)) AS missing, sum(greatest(y - x, 0)) AS extra, sum(least(x, y)) AS kept, sum(x) AS words,
           sum(CASE WHEN regexp_matches(word, '\\d') THEN greatest(x - y, 0) ELSE 0 END) AS missing_numbers FROM f GROUP BY {k})"""
