@@ -87,7 +87,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 _JOINT = r"""
     WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL),
-    t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS term FROM c),
+    t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(replace(text, 'İ', 'i' || chr(775))), '\p{L}{4,}')) AS term FROM c),
     j AS (SELECT chunk_id, term, count(*) AS tf FROM t GROUP BY ALL),
     m AS (SELECT term, count(*) AS records, sum(tf) AS total FROM j GROUP BY term),
     r AS (SELECT chunk_id, sum(tf) AS n FROM j GROUP BY chunk_id),

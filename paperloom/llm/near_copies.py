@@ -167,7 +167,7 @@ QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes}
 ORACLE = {
     "p2_found": r"""
         WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE kind = 'section' AND text IS NOT NULL),
-        w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS ws FROM c),
+        w AS (SELECT chunk_id, regexp_extract_all(lower(replace(text, 'İ', 'i' || chr(775))), '[\p{L}\p{Nd}]+') AS ws FROM c),
         s AS (SELECT DISTINCT chunk_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS g
               FROM (SELECT chunk_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
         n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
