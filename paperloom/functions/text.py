@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Token pattern, stop words, suffixes of the light stemmer, zero-width and direction marks.
 TOKEN = r"([a-z0-9]+(?:\.[0-9]+)?|[₹$€£%])"
@@ -100,12 +101,12 @@ def word_coverage(found: Column, expected: Column) -> Column:
     return F.when(F.size(want) == 0, 1.0).otherwise(F.size(F.array_intersect(have, want)) / F.size(want))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * (longest common subsequence) / (sum of lengths); two empty texts are alike."""
 
@@ -124,7 +125,7 @@ def indel_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate_udf(found: pd.Series, expected: pd.Series) -> pd.Series:
     """Word edit distance over the number of expected words."""
 
@@ -145,7 +146,7 @@ def word_error_rate_udf(found: pd.Series, expected: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(found, expected)], dtype="float64")
 
 
-@F.pandas_udf("array<struct<tag:string,a0:int,a1:int,b0:int,b1:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("a0", "a1", "b0", "b1"))])))
 def sequence_diff_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit blocks between two word sequences, in order."""
 
