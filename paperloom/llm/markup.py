@@ -50,6 +50,7 @@ IMPLIED_END = {
     "li": {"li", "p"}, "p": {"p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"},
     "dd": {"dt", "dd", "p"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 } | {tag: {"p"} for tag in "address article aside blockquote div dl figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
+MOST_DEPTH = 100
 #: Elements that an implied end does not look beyond.
 FENCES = frozenset("table ul ol dl td th body div section article".split())
 
@@ -89,7 +90,7 @@ _TEX_DROP = re.compile(r"\\(?:label|cite\w*|ref|pageref|index|vspace|hspace|usep
 def formulas(text: str) -> list[tuple[int, int]]:
     """Spans between dollars that hold a command, a subscript or a power, not an amount."""
     spans = []
-    for m in re.finditer(r"\$([^$\n]{1,300})\$", text):
+    for m in re.finditer(r"\$(?=\S)([^$\n]{1,300})(?<=\S)\$(?!\d)", text):
         body = m.group(1)
         strip = re.sub(r"\\[A-Za-z]+|\{[^{}]*\}", " ", body)
         wordy = len(re.findall(r"[^\W\d_]{4,}", strip)) > 1
@@ -149,12 +150,13 @@ class _Tree(HTMLParser):
             self.handle_data(self.get_starttag_text() or "")
             return
         ends = IMPLIED_END.get(tag, ())
+        cut = len(self.open)
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in ends:
-                del self.open[k:]
-                break
-            if self.open[k].tag in FENCES:
+                cut = k
+            elif self.open[k].tag in FENCES:
                 break
+        del self.open[cut:]
         given = {k: (v or "") for k, v in attrs}
         style = given.get("style", "").replace(" ", "").lower()
         hidden = tag in HIDDEN or "hidden" in given or "display:none" in style or "visibility:hidden" in style or given.get("aria-hidden") == "true"
@@ -162,7 +164,8 @@ class _Tree(HTMLParser):
         if tag == "img" and given.get("alt"):
             node.children.append(given["alt"])
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        # Beyond any sensible depth elements stand beside each other; no text is lost.
+        if tag not in VOID and len(self.open) < MOST_DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):

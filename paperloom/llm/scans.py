@@ -226,10 +226,13 @@ def p6_text(spark: SparkSession, folder: str) -> DataFrame:
     full = F.avg(F.length("line")).over(Window.partitionBy(*key))
     # A paragraph begins after a blank line, and after a sentence that ended on a short line.
     starts = before.isNull() | (F.trim(before) == "") | (before.rlike(r"[.!?:]\s*$") & (F.length(before) < full * 0.8))
-    lines = lines.withColumn("starts", starts.cast("int")).withColumn("joined", F.lag("split").over(order))
-    lines = lines.filter(~blank).withColumn("paragraph", F.sum("starts").over(order))
+    lines = lines.withColumn("starts", starts).filter(~blank)
+    lines = lines.withColumn("joined", F.coalesce(F.lag("split").over(order), F.lit(False)))
+    # Blank lines and furniture between the halves of a word start nothing.
+    lines = lines.withColumn("starts", (F.col("starts") & ~F.col("joined")).cast("int"))
+    lines = lines.withColumn("paragraph", F.sum("starts").over(order))
     trimmed = F.when(F.col("split"), F.regexp_replace(F.rtrim("line"), r"[-‐­]$", "")).otherwise(F.rtrim("line"))
-    piece = F.concat(F.when((F.col("starts") == 1) | F.coalesce("joined", F.lit(False)), "").otherwise(" "), F.ltrim(trimmed))
+    piece = F.concat(F.when((F.col("starts") == 1) | F.col("joined"), "").otherwise(" "), F.ltrim(trimmed))
     joined = lines.groupBy(*key, "paragraph").agg(F.array_sort(F.collect_list(F.struct("at", piece.alias("p")))).alias("ps"))
     joined = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("paragraph", F.array_join("ps.p", "").alias("t")))).alias("ts"))
     text = joined.select(*key, F.array_join("ts.t", "\n\n").alias("flat"))
