@@ -22,19 +22,20 @@ BIDI = "[‪-‮⁦-⁩]"
 
 
 def stem(t: Column) -> Column:
-    """Strip one suffix where at least four letters stay; words under five letters and numbers stay whole."""
-    out = t
-    for suffix in reversed(SUFFIXES):
-        out = F.when(t.endswith(suffix) & (F.length(t) - len(suffix) >= 4), F.left(t, F.length(t) - len(suffix))).otherwise(out)
-    out = F.when(t.endswith("ies") & (F.length(t) > 5), F.concat(F.left(t, F.length(t) - 3), F.lit("y"))).otherwise(out)
-    return F.when((F.length(t) < 5) | t.rlike("^[0-9]+$"), t).otherwise(out)
+    """Strip one suffix, the longest that leaves four letters; "ies" of words over five letters becomes "y"."""
+    cut = F.regexp_replace(t, f"^(.{{4,}}?)(?:{'|'.join(SUFFIXES)})$", "$1")
+    return F.when(t.endswith("ies") & (F.length(t) > 5), F.concat(F.left(t, F.length(t) - 3), F.lit("y"))).otherwise(cut)
 
 
-def tokens(text: Column) -> Column:
-    """Array of stemmed index terms; null text gives null."""
+def index_words(text: Column) -> Column:
+    """Array of raw index words, stop words out; null text gives null."""
     raw = F.regexp_extract_all(F.replace(F.lower(text), F.lit(",")), F.lit(TOKEN), F.lit(1))
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.transform(F.filter(raw, lambda t: ~F.array_contains(stop, t)), stem)
+    return F.filter(raw, lambda t: ~t.isin(*STOP_WORDS))
+
+
+def tokens(text: Column) -> Column:
+    """Array of stemmed index terms. For whole tables explode ``index_words`` and stem the rows: that is compiled code."""
+    return F.transform(index_words(text), stem)
 
 
 def sentences(text: Column) -> Column:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import STOP_WORDS, sentences, tokens
+from paperloom.functions.text import STOP_WORDS, index_words, sentences, stem, tokens
 from paperloom.sources.tables import read_table
 
 # Depths of the cascade and constants of the scores.
@@ -43,15 +43,33 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS), "question_id int, question string")
 
 
-def index_terms(rows: DataFrame) -> DataFrame:
+def index_rows(rows: DataFrame) -> DataFrame:
+    """``chunk_id, words``: raw index words of each chunk."""
     text = F.concat_ws(" ", F.coalesce("embed_text", F.lit("")), F.coalesce("text", F.lit("")))
-    return rows.withColumn("terms", tokens(text))
+    return rows.select("chunk_id", index_words(text).alias("words"))
+
+
+def index_terms(rows: DataFrame) -> DataFrame:
+    """``chunk_id, length, term``, one row an occurrence: stems are taken after the explode, in compiled code."""
+    words = index_rows(rows).select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("w"))
+    return words.select("chunk_id", "length", stem(F.col("w")).alias("term"))
+
+
+def asked_terms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Index terms that the questions ask for.
+
+    A stem keeps the first three characters of its word, so a broadcast semi join
+    on them drops almost all words before any is stemmed.
+    """
+    words = index_rows(rows).select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("w")).withColumn("p", F.left("w", F.lit(3)))
+    near = wanted.select(F.left("term", F.lit(3)).alias("p")).distinct()
+    few = words.join(F.broadcast(near), "p", "left_semi").select("chunk_id", "length", stem(F.col("w")).alias("term"))
+    return few.join(F.broadcast(wanted.select("term").distinct()), "term")
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """``chunk_id, term, tf, length``: one scan, partially counted before the shuffle."""
-    terms = index_terms(rows).select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return terms.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``chunk_id, length, term, tf``: one scan, partially counted before the shuffle."""
+    return index_terms(rows).groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def question_terms(asked: DataFrame) -> DataFrame:
@@ -60,7 +78,7 @@ def question_terms(asked: DataFrame) -> DataFrame:
 
 def corpus(rows: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length."""
-    return index_terms(rows).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean_length"))
+    return index_rows(rows).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean_length"))
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:
@@ -74,8 +92,7 @@ def bm25(rows: DataFrame, asked: DataFrame) -> DataFrame:
     in the scan's own stage before anything is shuffled.
     """
     wanted = question_terms(asked)
-    terms = index_terms(rows).select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    met = terms.join(F.broadcast(wanted.select("term").distinct()), "term").groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    met = asked_terms(rows, wanted).groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = met.join(F.broadcast(frequency), "term").join(F.broadcast(wanted), "term").crossJoin(F.broadcast(corpus(rows)))
     part = inverse_frequency(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -139,7 +156,7 @@ def retrieval_coverage(spark: SparkSession, folder: str) -> DataFrame:
     asked = questions(spark)
     wanted = question_terms(asked)
     best = top(bm25(rows, asked), PROMPT).select("question_id", "chunk_id")
-    held = postings(rows).join(F.broadcast(wanted.select("term").distinct()), "term")
+    held = asked_terms(rows, wanted).select("chunk_id", "term").distinct()
     frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     have = held.join(F.broadcast(best), "chunk_id").select("question_id", "term").distinct().withColumn("have", F.lit(1))
     weights = wanted.join(frequency, "term", "left").fillna(0, ["df"]).crossJoin(F.broadcast(corpus(rows)))
