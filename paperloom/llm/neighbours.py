@@ -38,7 +38,7 @@ from paperloom.sources.tables import read_table, shared_checkpoint
 
 TREES = 4
 #: Leaves searched for one vector, over all trees (its own leaf of each tree included).
-LEAVES = 12
+LEAVES = 16
 LEAF_ROWS = 256
 SAMPLE_ROWS = 32_768
 MOST_DEPTH = 12
