@@ -42,6 +42,7 @@ LEAVES = 16
 LEAF_ROWS = 256
 SAMPLE_ROWS = 32_768
 MOST_DEPTH = 12
+TASK_BYTES = 8 << 20
 #: Cosines of the 16-bit form differ by less than this from the exact ones (some 4e-6 as a rule).
 SLACK = 5e-5
 
@@ -192,7 +193,9 @@ def nearest(
         s = np.concatenate(sims) if sims else np.zeros(0)
         return pa.table({"x": ids.take(pa.array(x)), "y": ids.take(pa.array(y)), "sim": pa.array(s, pa.float64()), "many": pa.array((many[x] | many[y]).astype(bool))})
 
-    met = spread.groupBy("leaf").applyInArrow(search, "x string, y string, sim double, many boolean")
+    # Tasks of a bounded size, however many partitions the session asks for.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * max(leaves, trees) * (2 * dims + 72) / TASK_BYTES))
+    met = spread.repartition(tasks, "leaf").groupBy("leaf").applyInArrow(search, "x string, y string, sim double, many boolean")
     # At most (k + ties) rows a leaf and LEAVES leaves meet in one list.
     best = met.groupBy("x").agg(F.sort_array(F.collect_set(F.struct("sim", "y", "many")), asc=False).alias("c"))
     last = F.coalesce(F.get("c", F.lit(k - 1))["sim"], F.lit(-2.0))
