@@ -51,7 +51,7 @@ def index_rows(rows: DataFrame) -> DataFrame:
 
 def index_terms(rows: DataFrame) -> DataFrame:
     """``chunk_id, length, term``, one row an occurrence: stems are taken after the explode, in compiled code."""
-    words = index_rows(rows).select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("w"))
+    words = index_rows(rows).select("chunk_id", F.size("words").alias("length"), F.explode_outer("words").alias("w")).filter("w is not null")
     return words.select("chunk_id", "length", stem(F.col("w")).alias("term"))
 
 
@@ -61,9 +61,10 @@ def asked_terms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     A stem keeps the first three characters of its word, so a broadcast semi join
     on them drops almost all words before any is stemmed.
     """
-    words = index_rows(rows).select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("w")).withColumn("p", F.left("w", F.lit(3)))
+    # The outer explode and the coalesce keep the optimizer from testing words and stems for null where they would be computed twice.
+    words = index_rows(rows).select("chunk_id", F.size("words").alias("length"), F.explode_outer("words").alias("w")).withColumn("p", F.left("w", F.lit(3)))
     near = wanted.select(F.left("term", F.lit(3)).alias("p")).distinct()
-    few = words.join(F.broadcast(near), "p", "left_semi").select("chunk_id", "length", stem(F.col("w")).alias("term"))
+    few = words.join(F.broadcast(near), "p", "left_semi").select("chunk_id", "length", F.coalesce(stem(F.col("w")), F.lit("")).alias("term"))
     return few.join(F.broadcast(wanted.select("term").distinct()), "term")
 
 
