@@ -40,8 +40,9 @@ def joint_counts(df: DataFrame, key: str, text: str, least: int = LEAST_LETTERS)
     """``key, term, tf, record_terms`` of every record, copies of a row once."""
     once = df.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text")).distinct()
     sorted_terms = F.array_sort(F.regexp_extract_all(F.lower("_text"), F.lit(rf"(\p{{L}}{{{least},}})"), F.lit(1)))
-    rows = once.select(key, sorted_terms.alias("_terms")).filter(F.size("_terms") > 0)
-    rows = rows.select(key, F.size("_terms").alias("record_terms"), F.explode(_runs(F.col("_terms"))).alias("_t"))
+    rows = once.select(key, sorted_terms.alias("_terms"))
+    # The outer explode keeps the terms from being computed once more below ``distinct``, to drop texts without any.
+    rows = rows.select(key, F.size("_terms").alias("record_terms"), F.explode_outer(_runs(F.col("_terms"))).alias("_t")).filter("_t is not null")
     return rows.select(key, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"), "record_terms")
 
 
