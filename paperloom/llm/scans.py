@@ -78,7 +78,8 @@ def is_word(word: Column) -> Column:
 
 def vocabulary(records: DataFrame) -> DataFrame:
     """``word, n``: every word of the collection, partially counted before its shuffle."""
-    return records.select(F.explode(words_of(F.col("text"))).alias("word")).filter(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # An inner explode would have the words computed once more, to drop texts without any before their copies go.
+    return records.select(F.explode_outer(words_of(F.col("text"))).alias("word")).filter(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def misread_forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -95,7 +96,7 @@ def _fit_to_broadcast(table: DataFrame) -> DataFrame:
 
 def misreads(records: DataFrame, forms: DataFrame) -> DataFrame:
     """``table_name, record_id, word, correct`` of each record and misread form."""
-    rows = records.select("table_name", "record_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    rows = records.select("table_name", "record_id", F.explode_outer(F.array_distinct(words_of(F.col("text")))).alias("word"))
     return rows.filter(F.length("word") >= 3).join(_fit_to_broadcast(forms), "word")
 
 
