@@ -3,6 +3,7 @@
 Packing resets whenever the budget overflows, which no window expresses: each
 document's ordered blocks go through one pandas group (a document is small).
 Null contents count as empty; a single block over the limit is cut by sentences.
+A heading closes those of its level and deeper; one without a recorded level has level 1.
 """
 
 from __future__ import annotations
@@ -41,12 +42,12 @@ def split_long(text: str, limit: int) -> list[str]:
 
 def pack(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("position", kind="stable")
-    out, path, held = [], [], []
+    out, path, held = [], [], []  # path: (level, heading)
 
     def emit(kind: str, rows: list[tuple], text: str) -> None:
         known = [r[2] for r in rows if r[2] is not None and r[2] == r[2]]
         pages = sorted({int(r[1]) for r in rows if r[1] is not None and r[1] == r[1]})
-        out.append((part["doc_id"].iloc[0], len(out), kind, json.dumps(path, ensure_ascii=False), text, [r[0] for r in rows], pages, round(min(known), 4) if known else None, estimate(text)))
+        out.append((part["doc_id"].iloc[0], len(out), kind, json.dumps([t for _, t in path], ensure_ascii=False), text, [r[0] for r in rows], pages, round(min(known), 4) if known else None, estimate(text)))
 
     def close() -> None:
         nonlocal held
@@ -59,7 +60,9 @@ def pack(part: pd.DataFrame) -> pd.DataFrame:
         if kind == "heading":
             close()
             depth = int(level) if level == level and level else 1
-            path = [*path[: max(0, depth - 1)], text.strip()]
+            while path and path[-1][0] >= depth:
+                path.pop()
+            path.append((depth, text.strip()))
         elif kind in WHOLE:
             close()
             emit(WHOLE[kind], [(block, page, confidence, text)], text)
@@ -78,16 +81,19 @@ def build_chunks(rows: DataFrame) -> DataFrame:
     return wanted.groupBy("doc_id").applyInPandas(pack, OUT)
 
 
+def placed_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_order(blocks(spark, folder)).withColumnRenamed("heading_level", "level")
+
+
 def chunk_sections(spark: SparkSession, folder: str) -> DataFrame:
-    placed = reading_order(blocks(spark, folder)).withColumn("level", F.lit(1))
-    return build_chunks(placed)
+    return build_chunks(placed_blocks(spark, folder))
 
 
 def chunk_conservation(spark: SparkSession, folder: str) -> DataFrame:
     """Words of body blocks against words of their chunks: packing loses and invents none."""
     from paperloom.functions.text import content_words
 
-    placed = reading_order(blocks(spark, folder)).withColumn("level", F.lit(1))
+    placed = placed_blocks(spark, folder)
     body = placed.filter(~F.col("type").isin("heading", "header", "footer") & (F.trim("content") != ""))
     a = body.groupBy("doc_id").agg(F.sum(F.size(content_words(F.col("content")))).alias("block_words"))
     b = build_chunks(placed).groupBy("doc_id").agg(F.sum(F.size(content_words(F.col("text")))).alias("chunk_words"))

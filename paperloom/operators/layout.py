@@ -23,7 +23,10 @@ GUTTER, SAME_BOX = 0.012, 0.8
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "blocks").distinct()
     parsed = rows.select("doc_id", "block_id", "ord", F.from_json("json", BLOCK, {"columnNameOfCorruptRecord": "_bad"}).alias("j")).filter("j._bad is null and j.type is not null")
-    return parsed.select("doc_id", "block_id", "ord", *(f"j.{c}" for c in ("type", "content", "page", "bbox", "confidence", "extractor", "reading_order", "requires_review")))
+    level = F.expr("cast(try_cast(j.metadata['heading_level'] as double) as int)")
+    return parsed.select(
+        "doc_id", "block_id", "ord", *(f"j.{c}" for c in ("type", "content", "page", "bbox", "confidence", "extractor", "reading_order", "requires_review")), level.alias("heading_level")
+    )
 
 
 def edge(n: int) -> Column:
@@ -121,10 +124,11 @@ def layout_headings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def layout_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Markdown of each document from its ordered blocks; pages apart by a rule, furniture left out."""
+    """Markdown of each document from its ordered blocks; headings by their level (1 where none is recorded), pages apart by a rule, furniture left out."""
     rows = reading_order(blocks(spark, folder)).filter(~F.col("type").isin("header", "footer") & (F.trim("content") != ""))
+    marks = F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("heading_level", F.lit(1)))))
     text = (
-        F.when(F.col("type") == "heading", F.concat(F.lit("## "), "content"))
+        F.when(F.col("type") == "heading", F.concat(marks, F.lit(" "), "content"))
         .when(F.col("type") == "list", F.regexp_replace("content", r"(?m)^\s*(?:[-•*]\s*)?(?=\S)", "- "))
         .when(F.col("type") == "equation", F.concat(F.lit("$$\n"), F.col("content"), F.lit("\n$$")))
         .when(F.col("type") == "figure", F.concat(F.lit("*"), F.col("content"), F.lit("*"))).otherwise(F.col("content"))

@@ -1,5 +1,7 @@
+import json
+
 from paperloom.functions import latex
-from paperloom.operators import chunking, geometry
+from paperloom.operators import chunking, geometry, layout
 from paperloom.plans import planner
 
 CELLS = "table_id string, title string, scale double, unit string, currency string, row_idx int, col_idx int, label string, is_total boolean, col_path string, period string, raw string, v double"
@@ -37,6 +39,20 @@ def test_packing_keeps_order_budget_and_whole_tables(spark):
     assert sum(r.text.count("sentence") for r in got) == 300
 
 
+def test_recorded_heading_levels_nest(spark, tmp_path):
+    def block(i, kind, content, level=None):
+        meta = {} if level is None else {"heading_level": level}
+        return 1, f"b{i}", i, json.dumps({"id": f"b{i}", "type": kind, "content": content, "page": 1, "bbox": [0.1, 0.05 * i, 0.9, 0.05 * i + 0.04], "metadata": meta})
+
+    parts = [("heading", "Report", 1), ("heading", "Debt", 3), ("paragraph", "a"), ("heading", "Leases", 3), ("paragraph", "b"), ("heading", "Risks", 2), ("paragraph", "c"), ("heading", "Annex"), ("paragraph", "d")]
+    rows = [block(i, *p) for i, p in enumerate(parts, 1)]
+    spark.createDataFrame(rows, "doc_id long, block_id string, ord int, json string").write.parquet(f"{tmp_path}/blocks.parquet")
+    got = {r.text: json.loads(r.heading) for r in chunking.chunk_sections(spark, str(tmp_path)).collect()}
+    assert got == {"a": ["Report", "Debt"], "b": ["Report", "Leases"], "c": ["Report", "Risks"], "d": ["Annex"]}
+    text = layout.layout_markdown(spark, str(tmp_path)).head().markdown
+    assert [s for s in text.split("\n\n") if s.startswith("#")] == ["# Report", "### Debt", "### Leases", "## Risks", "# Annex"]
+
+
 def test_rows_columns_and_numeric_tables(spark):
     words = []
     for r, (label, *numbers) in enumerate([("Cash", "1.0", "22.5"), ("Debt", "310.0", "4.1"), ("Tax", "5.5", "60.0")]):
