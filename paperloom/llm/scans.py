@@ -3,9 +3,13 @@
 Method:
 * Misread characters. Every word of the collection is reduced to the skeleton of
   its glyphs (characters and pairs that scanners confuse share one); words of one
-  skeleton form a group. In a group the frequent form is what stands in the
-  contexts of the rare ones: a form seen at most 1/``RATIO`` as often is a misread
-  of it. Codes (two digits in a row, a letter or two with a digit) take no part,
+  skeleton form a group. The right form of a group has no
+  digit or mark and is the most frequent, unless another stands in ``RATIO`` times as
+  many contexts (pairs of neighbouring words, each counted once, however often it is
+  copied). Another form is a misread of it if they share a neighbour and it is at most
+  1/``RATIO`` as frequent, in words or in contexts; if the right form stands in all its
+  contexts and in twice as many; or if it holds a digit or mark and shares a whole
+  context. Codes (two digits in a row, a letter or two with a digit) take no part,
   nor do halves of words split at a line end.
 * Page furniture. A line of its own that is a printed page number is one; header
   lines have the shape of one (capitals alone, or two titled halves set apart by a
@@ -82,12 +86,57 @@ def vocabulary(records: DataFrame) -> DataFrame:
     return records.select(F.explode_outer(words_of(F.col("text"))).alias("word")).filter(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def misread_forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
-    """``word, correct``: rare forms that share a skeleton with a form ``ratio`` times as frequent."""
+def candidate_forms(words: DataFrame) -> DataFrame:
+    """``word, n, bone`` of words whose skeleton has two forms or more."""
     known = words.filter(is_word(F.col("word"))).withColumn("bone", skeleton(F.col("word")))
-    best = known.groupBy("bone").agg(F.max(F.struct("n", "word")).alias("best"), F.count(F.lit(1)).alias("forms")).filter("forms > 1")
-    both = known.join(best, "bone").filter((F.col("n") * ratio <= F.col("best.n")) & ~F.col("best.word").rlike(r"[\p{Nd}!†]"))
-    return both.select("word", F.col("best.word").alias("correct"))
+    return known.join(known.groupBy("bone").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("bone"), "bone")
+
+
+def contexts(records: DataFrame, forms: DataFrame) -> DataFrame:
+    """``bone, word, l, r``: every pair of neighbours in which a form stands, once however often it is copied."""
+
+    def beside(w: Column) -> Column:
+        # A misread neighbour is the same neighbour, and so is another number.
+        return F.when(w.rlike(r"^\p{Nd}+$"), "0").otherwise(skeleton(F.coalesce(w, F.lit(""))))
+
+    ws = records.select(words_of(F.col("text")).alias("ws"))
+    placed = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.get("ws", i - 1).alias("l"), F.get("ws", i + 1).alias("r")))
+    rows = ws.select(F.explode(placed).alias("p")).select("p.*").filter(F.length("word") >= 3)
+    met = rows.join(_fit_to_broadcast(forms.select("word", "bone")), "word").distinct()
+    return met.select("bone", "word", beside(F.col("l")).alias("l"), beside(F.col("r")).alias("r")).distinct()
+
+
+def misread_forms(words: DataFrame, ratio: int = RATIO, records: DataFrame | None = None) -> DataFrame:
+    """``word, correct``: forms of a skeleton that its best form explains; by frequency alone where no ``records`` give contexts."""
+    marked = r"[\p{Nd}!†]"
+    if records is None:
+        known = words.filter(is_word(F.col("word"))).withColumn("bone", skeleton(F.col("word")))
+        best = known.groupBy("bone").agg(F.max(F.struct("n", "word")).alias("best"), F.count(F.lit(1)).alias("forms")).filter("forms > 1")
+        both = known.join(best, "bone").filter((F.col("n") * ratio <= F.col("best.n")) & ~F.col("best.word").rlike(marked))
+        return both.select("word", F.col("best.word").alias("correct"))
+    forms = shared_checkpoint(candidate_forms(words))
+    stands = shared_checkpoint(contexts(records, forms))
+    sizes = forms.join(stands.groupBy("bone", "word").agg(F.count(F.lit(1)).alias("places")), ["bone", "word"])
+    # The frequent form, unless it is copied: another that stands in ``ratio`` times as many contexts is the right one.
+    first, rival = (F.struct(*(F.col(f"{side}.{c}").alias(c) for c in ("n", "places", "word"))) for side in ("by_n", "by_places"))
+    ranked = sizes.filter(~F.col("word").rlike(marked)).groupBy("bone").agg(
+        F.max(F.struct("n", "places", "word")).alias("by_n"), F.max(F.struct("places", "n", "word")).alias("by_places")
+    )
+    best = ranked.select("bone", F.when(F.col("by_places.places") >= F.col("by_n.places") * ratio, rival).otherwise(first).alias("best"))
+    best = shared_checkpoint(best)
+    right = stands.join(best.select("bone", F.col("best.word").alias("word")), ["bone", "word"])
+    lefts = right.select("bone", "l").distinct().withColumn("on_left", F.lit(True))
+    rights = right.select("bone", "r").distinct().withColumn("on_right", F.lit(True))
+    whole = right.select("bone", "l", "r").withColumn("on_both", F.lit(True))
+    met = stands.join(lefts, ["bone", "l"], "left").join(rights, ["bone", "r"], "left").join(whole, ["bone", "l", "r"], "left")
+    shared = met.groupBy("bone", "word").agg(
+        F.count_if(F.col("on_left") | F.col("on_right")).alias("near"), F.count_if("on_both").alias("same")
+    ).filter("near > 0")
+    both = sizes.join(best, "bone").filter(F.col("word") != F.col("best.word")).join(shared, ["bone", "word"])
+    rare = (F.col("n") * ratio <= F.col("best.n")) | (F.col("places") * ratio <= F.col("best.places"))
+    covered = (F.col("same") == F.col("places")) & (F.col("places") * 2 <= F.col("best.places"))
+    given = F.col("word").rlike(marked) & (F.col("same") > 0)
+    return both.filter(rare | covered | given).select("word", F.col("best.word").alias("correct"))
 
 
 def _fit_to_broadcast(table: DataFrame) -> DataFrame:
@@ -202,7 +251,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = records(spark, folder)
     words = shared_checkpoint(vocabulary(rows))
-    forms = shared_checkpoint(misread_forms(words))
+    forms = shared_checkpoint(misread_forms(words, records=rows))
     found = shared_checkpoint(layout(rows))
     wrong = misreads(rows, forms).select("table_name", "record_id", F.lit("misread").alias("noise"))
     numbers = found.filter("noise = 'page_number'").select("table_name", "record_id", "noise")
@@ -215,7 +264,7 @@ def p6_text(spark: SparkSession, folder: str) -> DataFrame:
     """``table_name, record_id, clean_text``: repaired and reflowed text of every record."""
     rows = records(spark, folder)
     words = shared_checkpoint(vocabulary(rows))
-    forms = shared_checkpoint(misread_forms(words))
+    forms = shared_checkpoint(misread_forms(words, records=rows))
     found = shared_checkpoint(layout(rows))
     key = ["table_name", "record_id"]
     aside = found.filter("noise = 'page_number'").select(*key, "at").unionByName(confirmed_headers(found)).withColumn("aside", F.lit(True))

@@ -37,6 +37,15 @@ def test_shuffle_path_gives_the_same(spark, monkeypatch):
     assert sorted(map(tuple, C.misreads(rows, forms).collect())) == want and want
 
 
+def test_contexts_decide_where_a_misread_line_is_copied(spark):
+    names = "north south east west upper lower inner outer first second third fourth".split()
+    rows = [f"note {a} {b} the lcnder signed" for a in names for b in names] + [f"every {a} lender of {a} mill" for a in names] + ["the lender signed"]
+    rows += ["a rare schedule holds", "a rare schedule stays", "one schedule of two", "a rare 5chedule holds"]
+    rows = spark.createDataFrame([("t", f"r{i}", t) for i, t in enumerate(rows)], "table_name string, record_id string, text string")
+    got = {(r.word, r.correct) for r in C.misread_forms(C.vocabulary(rows), records=rows).collect()}
+    assert got == {("lcnder", "lender"), ("5chedule", "schedule")}
+
+
 def test_skeletons_join_confusable_forms(spark):
     pairs = [("income", "incorne"), ("throughout", "throiighout"), ("between", "betvveen"), ("applies", "apphes"), ("planned", "plamied"), ("shift", "sbift"), ("range", "rangc"), ("warranty", "warran†y"), ("office", "ofﬁce"), ("million", "mi1lion")]
     rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", C.skeleton(F.col("a")).alias("x"), C.skeleton(F.col("b")).alias("y")).collect()
