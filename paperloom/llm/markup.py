@@ -184,15 +184,58 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def _rows(node: _Node) -> list[list[str]]:
-    rows = []
-    for child in node.children:
-        if isinstance(child, _Node) and not child.hidden:
-            if child.tag == "tr":
-                rows.append([" ".join(_render(c, False).split()) for c in child.children if isinstance(c, _Node) and c.tag in ("td", "th")])
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                rows += _rows(child)
-    return rows
+def _table(node: _Node) -> str:
+    """Aligned rows of a table; its caption and whatever else stands in it as text of its own, in order."""
+    parts: list[str] = []
+    rows: list[list[str]] = []
+    loose = _Node("#loose")
+
+    def settle() -> None:
+        if rows:
+            parts.append(aligned(rows))
+            rows.clear()
+        if text := _render(loose, False).strip():
+            parts.append(text)
+        loose.children = []
+
+    def beside(child: _Node | str) -> None:
+        one = _Node("#one")
+        one.children = [child]
+        if loose.children or _render(one, False).strip():
+            if rows:
+                settle()
+            loose.children.append(child)
+
+    def begin() -> list[str]:
+        if loose.children:
+            settle()
+        rows.append([])
+        return rows[-1]
+
+    def walk(part: _Node, row: list[str] | None = None) -> None:
+        later = []
+        for child in part.children:
+            tag = "" if isinstance(child, str) else child.tag
+            if tag in ("td", "th"):
+                # A cell without a row begins one.
+                row = begin() if row is None else row
+                row.append(" ".join(_render(child, False).split()))
+            elif tag and child.hidden:
+                continue
+            elif tag in ("tr", "thead", "tbody", "tfoot", "colgroup"):
+                walk(child, begin() if tag == "tr" else None)
+                row = None
+            elif part.tag == "tr":
+                later.append(child)
+            else:
+                beside(child)
+                row = None if loose.children else row
+        for child in later:
+            beside(child)
+
+    walk(node)
+    settle()
+    return "\n\n".join(parts)
 
 
 def aligned(rows: list[list[str]]) -> str:
@@ -217,7 +260,7 @@ def _render(node: _Node, pre: bool, depth: int = 0) -> str:
         elif tag == "hr":
             out.append("\n\n")
         elif tag == "table":
-            out.append("\n\n" + aligned(_rows(child)) + "\n\n")
+            out.append("\n\n" + _table(child) + "\n\n")
         elif tag == "pre":
             out.append("\n\n```\n" + _render(child, True).strip("\n") + "\n```\n\n")
         elif tag == "code" and not pre:

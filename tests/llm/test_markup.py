@@ -52,3 +52,13 @@ def test_query_has_no_row_twice(spark, tmp_path):
     got = sorted(map(tuple, K.p3_found(spark, str(tmp_path)).collect()))
     assert got == [("1", "embed_text", "html"), ("1", "embed_text", "markdown"), ("1", "text", "html")]
     assert K.p3_clean(spark, str(tmp_path)).count() == 4
+
+
+def test_everything_visible_in_a_table_is_kept():
+    from paperloom.llm.markup import render_html
+
+    assert render_html("<table><caption>Debt</caption><tr><td>a</td><td>b</td></tr></table>") == "Debt\n\na  b"
+    assert render_html("<table><td>a<td>b<tr><td>c<td>d</table>") == "a  b\nc  d"
+    assert render_html("<table>in <b>table</b><tr>in row<td>a</td></tr></table>") == "in table\n\na\n\nin row"
+    assert render_html("<table><tr><td>a</td></tr><p>after</p><p>last</p>") == "a\n\nafter\n\nlast"
+    assert render_html("<table><tbody><tr><th>x</th></tr>\n<tr><td>y</td></tr></tbody></table>") == "x\ny"
