@@ -1,38 +1,44 @@
 """Problem 10: share of repeated words inside one document.
 
-Method: rule statistics of each document (repeated share of six-word windows,
-distinct share of words and of word pairs, share of the commonest word, share of
-repeated lines) enter an isolation forest. The forest is grown on a bounded
-sample; the threshold on the anomaly score comes from the labelled rows of that
-sample (a label is the exact rule). Documents at or over the threshold are then
-held against the exact rule.
-
-Defined cases: null, empty and word-less texts have share 0 and are never found.
+Method: cheap rule statistics of each document (distinct shares of words, word
+pairs and word triples, share of the commonest word, share of repeated lines,
+compressed size over size) enter an isolation forest. The forest is grown on a
+bounded sample; the threshold on the anomaly score comes from the labelled rows of
+that sample (a label is the exact rule) and, where these are few, from sample
+texts made to repeat just enough. Only documents that the forest flags are held
+against the exact rule of six-word windows; the others are never searched for
+windows. Recall of the screen over all rows: see README.
+
+Defined cases: null, empty and word-less texts have share 0 and are never found;
+where the sample holds neither labels nor texts of 12 words, all rows are checked.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paperloom.sources.tables import read_table
 
 WINDOW = 6
 LEAST_WORDS = 12
 LEAST_SHARE = 0.30
-#: Bounded samples: rows the forest is grown on, and trees and rows a tree.
-SAMPLE_ROWS = 4_000
+#: Bounded samples: rows for growing and labels, labels needed, and trees and rows a tree.
+SAMPLE_ROWS = 20_000
+LEAST_LABELS = 100
 TREES = 64
 ROWS_A_TREE = 256
 #: The threshold lies under the lowest score of a labelled row by this much.
-MARGIN = 0.05
-STATISTICS = ("repeated_share", "distinct_words", "distinct_pairs", "top_word", "repeated_lines")
+MARGIN = 0.03
+STATISTICS = ("distinct_words", "distinct_pairs", "distinct_triples", "top_word", "repeated_lines", "compressed")
 
 _DROP = re.compile(r"[^\w\s]")
 
@@ -52,40 +58,36 @@ def repeated_positions(words: list[str], window: int = WINDOW) -> int:
     return covered
 
 
-def statistics(text: str | None) -> tuple[int, float, float, float, float, float]:
-    words = _DROP.sub("", text.lower()).split() if text else []
+def words_of(text: str | None) -> list[str]:
+    return _DROP.sub("", text.lower()).split() if text else []
+
+
+def repeated_share(words: list[str]) -> float:
+    return repeated_positions(words) / len(words) if words else 0.0
+
+
+def statistics(text: str | None, words: list[str]) -> tuple[float, ...]:
+    """The cheap statistics of a document, in the order of ``STATISTICS``."""
     n = len(words)
     if not n:
-        return 0, 0.0, 1.0, 1.0, 0.0, 0.0
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+        return 1.0, 1.0, 1.0, 0.0, 0.0, 1.0
+    pairs = list(zip(words, words[1:]))
     lines = [line for line in text.split("\n") if line.strip()]
+    raw = text.encode("utf-8", "replace")
     return (
-        n,
-        repeated_positions(words) / n,
-        len(counts) / n,
-        len(set(zip(words, words[1:]))) / max(1, n - 1),
-        max(counts.values()) / n,
+        len(set(words)) / n,
+        len(set(pairs)) / max(1, n - 1),
+        len(set(zip(pairs, words[2:]))) / max(1, n - 2),
+        Counter(words).most_common(1)[0][1] / n,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
+        len(zlib.compress(raw, 1)) / len(raw),
     )
 
 
-def document_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, ``n_words`` and the rule statistics: one pass, no shuffle."""
-    source = df.select(F.col(key), F.col(text).alias("text"))
-    names = [key, "n_words", *STATISTICS]
-
-    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            rows = [statistics(t.as_py()) for t in frame.column(1)]
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [frame.column(0), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.float64()) for c in columns[1:])], names
-            )
-
-    kind = dict(source.dtypes)[key]
-    return source.mapInArrow(batches, f"{key} {kind}, n_words int, " + ", ".join(f"{s} double" for s in STATISTICS))
+def planted(words: list[str]) -> list[str] | None:
+    """The words with as many of their first repeated at the end as just make a case, else None."""
+    again = max(WINDOW, math.ceil(LEAST_SHARE * len(words) / (1 - LEAST_SHARE)))
+    return [*words, *words[:again]] if len(words) >= max(LEAST_WORDS, again) else None
 
 
 def _harmonic(n: np.ndarray | float) -> np.ndarray | float:
@@ -141,51 +143,87 @@ class IsolationForest:
         return np.power(2.0, -total / len(self.trees) / float(_harmonic(self.size)))
 
 
-def is_case(n_words: np.ndarray, share: np.ndarray) -> np.ndarray:
-    return (n_words >= LEAST_WORDS) & (share >= LEAST_SHARE - 1e-12)
+def is_case(n_words: int, share: float) -> bool:
+    return n_words >= LEAST_WORDS and share >= LEAST_SHARE - 1e-12
 
 
-def score_documents(stats: DataFrame, key: str, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Adds ``anomaly`` and ``flagged``; the only rows at the driver are the bounded sample.
+class Screen:
+    """Forest and threshold; without labels the threshold is 0 and everything is flagged."""
 
-    Half of the sample are rows, half labelled rows, each drawn by hash at the rate
-    that gives ``sample_rows / 2`` on average, so that the threshold is set from true
-    cases however rare they are. Without any row or label nothing is flagged.
-    """
-    case = (F.col("n_words") >= LEAST_WORDS) & (F.col("repeated_share") >= LEAST_SHARE - 1e-12)
-    rows, labelled = stats.agg(F.count(F.lit(1)), F.count_if(case)).head()
-    base, cases = (
-        part.filter(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < int(min(1.0, sample_rows / 2 / max(1, n)) * (1 << 30)))
-        .select(key, *STATISTICS).toPandas().sort_values(key, ignore_index=True)
-        for part, n in ((stats, rows), (stats.filter(case), labelled))
-    )
-    if base.empty or cases.empty:
-        return stats.withColumn("anomaly", F.lit(None).cast("double")).withColumn("flagged", F.lit(False))
-    forest = IsolationForest(base[list(STATISTICS)].to_numpy())
-    threshold = float(forest.score(cases[list(STATISTICS)].to_numpy()).min()) - MARGIN
+    def __init__(self, rows: np.ndarray, kinds: np.ndarray):
+        base, labels = rows[kinds < 2], rows[kinds == 1]
+        if len(labels) < LEAST_LABELS:
+            labels = rows[kinds >= 1]
+        self.threshold = 0.0
+        if len(labels):
+            self.forest = IsolationForest(base)
+            self.threshold = float(self.forest.score(labels).min()) - MARGIN
+
+    def flags(self, rows: np.ndarray) -> np.ndarray:
+        return np.ones(len(rows), bool) if self.threshold <= 0 else self.forest.score(rows) >= self.threshold
+
+
+def fit_screen(df: DataFrame, key: str, text: str, *, sample_rows: int = SAMPLE_ROWS) -> Screen:
+    """The screen, from the statistics of a bounded sample drawn by hash (``sample_rows`` on average)."""
+    rate = int(min(1.0, sample_rows / max(1, df.count())) * (1 << 30))
+    drawn = df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < rate)
 
-    @F.pandas_udf(T.DoubleType())
-    def anomaly(*columns):
-        import pandas as pd
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            rows, kinds = [], []
+            for k, value in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                words = words_of(value)
+                rows.append(statistics(value, words)), kinds.append(int(is_case(len(words), repeated_share(words))))
+                # Every tenth text or so is made to repeat as well, by its key.
+                if zlib.crc32(str(k).encode()) % 10 == 0 and (more := planted(words)) and is_case(len(more), repeated_share(more)):
+                    rows.append(statistics(value + " " + " ".join(more[len(words) :]), more)), kinds.append(2)
+            columns = list(zip(*rows)) or [[]] * len(STATISTICS)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *(pa.array(c, pa.float64()) for c in columns)], ["kind", *STATISTICS])
+
+    got = drawn.select(key, text).mapInArrow(batches, "kind int, " + ", ".join(f"{s} double" for s in STATISTICS)).toPandas()
+    got = got.sort_values(list(got.columns), ignore_index=True)
+    return Screen(got[list(STATISTICS)].to_numpy(), got["kind"].to_numpy())
+
+
+def repeated_documents(df: DataFrame, key: str, text: str, *, screen: Screen | None = None) -> DataFrame:
+    """``key, n_words, anomalous, repeated_share``: the share only of what the forest flags; one pass, no shuffle."""
+    screen = screen or fit_screen(df, key, text)
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            texts = frame.column(1).to_pylist()
+            words = [words_of(t) for t in texts]
+            rows = np.array([statistics(t, w) for t, w in zip(texts, words)]).reshape(-1, len(STATISTICS))
+            flags = screen.flags(rows)
+            shares = [repeated_share(w) if f else None for f, w in zip(flags, words)]
+            yield pa.RecordBatch.from_arrays(
+                [frame.column(0), pa.array([len(w) for w in words], pa.int32()), pa.array(flags), pa.array(shares, pa.float64())],
+                [key, "n_words", "anomalous", "repeated_share"],
+            )
+
+    source = df.select(key, text)
+    return source.mapInArrow(batches, f"{key} {dict(source.dtypes)[key]}, n_words int, anomalous boolean, repeated_share double")
 
-        return pd.Series(forest.score(np.column_stack([c.to_numpy() for c in columns])))
 
-    return stats.withColumn("anomaly", anomaly(*STATISTICS)).withColumn("flagged", F.col("anomaly") >= threshold)
+def document_shares(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n_words, repeated_share`` of every document by the exact rule."""
+
+    class Every(Screen):
+        def __init__(self):
+            self.threshold = 0.0
+
+    return repeated_documents(df, key, text, screen=Every()).drop("anomalous")
 
 
 def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated share of every document."""
-    stats = document_statistics(read_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
-    return stats.select("doc_id", "n_words", F.round("repeated_share", 9).alias("repeated_share"))
+    shares = document_shares(read_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return shares.select("doc_id", "n_words", F.round("repeated_share", 9).alias("repeated_share"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    from paperloom.sources.tables import shared_checkpoint
-
-    stats = document_statistics(read_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
-    scored = score_documents(shared_checkpoint(stats), "doc_id")
-    exact = (F.col("n_words") >= LEAST_WORDS) & (F.col("repeated_share") >= LEAST_SHARE - 1e-12)
-    return scored.filter("flagged").filter(exact).select("doc_id")
+    rows = repeated_documents(read_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return rows.filter("anomalous").filter((F.col("n_words") >= LEAST_WORDS) & (F.col("repeated_share") >= LEAST_SHARE - 1e-12)).select("doc_id")
 
 
 #: White space of Unicode, for an engine whose \s is ASCII (fixed values).

@@ -27,9 +27,11 @@ def test_forest_ranks_outliers_first():
 
 
 def test_statistics_of_odd_texts():
-    assert R.statistics(None)[0] == R.statistics("")[0] == R.statistics(" \n…!")[0] == 0
-    n, share, *_ = R.statistics("one two three four five six " * 3)
-    assert (n, round(share, 4)) == (18, round(12 / 18, 4))
+    for text in (None, "", " \n…!"):
+        assert R.words_of(text) == [] and R.repeated_share([]) == 0 and R.statistics(text, [])[0] == 1.0
+    words = R.words_of("one two three four five six " * 3)
+    assert (len(words), round(R.repeated_share(words), 4)) == (18, round(12 / 18, 4))
+    assert R.is_case(17, R.repeated_share(R.planted([f"w{i}" for i in range(12)])))
 
 
 def test_found_equals_the_exact_rule(spark, tmp_path):
@@ -40,7 +42,18 @@ def test_found_equals_the_exact_rule(spark, tmp_path):
     assert sorted(r.doc_id for r in R.p10_found(spark, str(tmp_path)).collect()) == [i for i in range(1, 80) if i % 7 == 0]
 
 
-def test_empty_and_unlabelled_tables_flag_nothing(spark):
-    rows = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+def test_empty_and_unlabelled_tables(spark):
+    rows = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").selectExpr("*", "1 as n_words", "2 as anomalous")
     for part in (rows, rows.limit(0)):
-        assert R.score_documents(R.document_statistics(part, "doc_id", "text"), "doc_id").filter("flagged").count() == 0
+        assert R.repeated_documents(part, "doc_id", "text").filter("repeated_share > 0").count() == 0
+
+
+def test_the_forest_decides_what_is_searched(spark, folder):
+    """Without the screen every document is searched for windows; with it few are, and no case is lost."""
+    rows = spark.read.parquet(folder.replace("0.001", "0.01") + "/documents.parquet")
+    got = R.repeated_documents(rows, "doc_id", "text").toPandas()
+    every = R.document_shares(rows, "doc_id", "text").toPandas().set_index("doc_id")
+    cases = set(every.index[(every["n_words"] >= 12) & (every["repeated_share"] >= 0.3)])
+    flagged = set(got["doc_id"][got["anomalous"]])
+    assert cases and cases <= flagged and len(flagged) < 0.3 * len(got)
+    assert got["repeated_share"].notna().sum() == len(flagged)
