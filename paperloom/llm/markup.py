@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -50,7 +51,6 @@ IMPLIED_END = {
     "li": {"li", "p"}, "p": {"p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"},
     "dd": {"dt", "dd", "p"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 } | {tag: {"p"} for tag in "address article aside blockquote div dl figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
-MOST_DEPTH = 100
 #: Elements that an implied end does not look beyond.
 FENCES = frozenset("table ul ol dl td th body div section article".split())
 
@@ -90,7 +90,7 @@ _TEX_DROP = re.compile(r"\\(?:label|cite\w*|ref|pageref|index|vspace|hspace|usep
 def formulas(text: str) -> list[tuple[int, int]]:
     """Spans between dollars that hold a command, a subscript or a power, not an amount."""
     spans = []
-    for m in re.finditer(r"\$(?=\S)([^$\n]{1,300})(?<=\S)\$(?!\d)", text):
+    for m in re.finditer(r"\$(?=\S)([^$\n]+)(?<=\S)\$(?!\d)", text):
         body = m.group(1)
         strip = re.sub(r"\\[A-Za-z]+|\{[^{}]*\}", " ", body)
         wordy = len(re.findall(r"[^\W\d_]{4,}", strip)) > 1
@@ -130,6 +130,22 @@ def detect(text: str | None, path_line: bool = False) -> set[str]:
     return kinds
 
 
+#: A step of rendering asks for parts by yielding their steps, so that any depth fits (Python's own stack does not grow).
+_Steps = Generator["_Steps", object, object]
+
+
+def _finish(steps: _Steps) -> str:
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 class _Node:
     __slots__ = ("children", "hidden", "tag")
 
@@ -144,6 +160,11 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("#root")
         self.open = [self.root]
+        self.names = Counter()
+
+    def _close(self, k: int) -> None:
+        self.names.subtract(node.tag for node in self.open[k:])
+        del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
         if tag not in BLOCKS and tag not in INLINE:
@@ -151,12 +172,13 @@ class _Tree(HTMLParser):
             return
         ends = IMPLIED_END.get(tag, ())
         cut = len(self.open)
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in ends:
-                cut = k
-            elif self.open[k].tag in FENCES:
-                break
-        del self.open[cut:]
+        if any(self.names[end] > 0 for end in ends):
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag in ends:
+                    cut = k
+                elif self.open[k].tag in FENCES:
+                    break
+        self._close(cut)
         given = {k: (v or "") for k, v in attrs}
         style = given.get("style", "").replace(" ", "").lower()
         hidden = tag in HIDDEN or "hidden" in given or "display:none" in style or "visibility:hidden" in style or given.get("aria-hidden") == "true"
@@ -164,77 +186,79 @@ class _Tree(HTMLParser):
         if tag == "img" and given.get("alt"):
             node.children.append(given["alt"])
         self.open[-1].children.append(node)
-        # Beyond any sensible depth elements stand beside each other; no text is lost.
-        if tag not in VOID and len(self.open) < MOST_DEPTH:
+        if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         depth = len(self.open)
         self.handle_starttag(tag, attrs)
         if len(self.open) > depth:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.names[tag] > 0:
+            k = len(self.open) - 1
+            while self.open[k].tag != tag:
+                k -= 1
+            self._close(k)
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
 
-def _table(node: _Node) -> str:
+def _table(node: _Node) -> _Steps:
     """Aligned rows of a table; its caption and whatever else stands in it as text of its own, in order."""
     parts: list[str] = []
     rows: list[list[str]] = []
     loose = _Node("#loose")
 
-    def settle() -> None:
+    def settle() -> _Steps:
         if rows:
             parts.append(aligned(rows))
             rows.clear()
-        if text := _render(loose, False).strip():
+        text = (yield _render(loose, False)).strip()
+        if text:
             parts.append(text)
         loose.children = []
 
-    def beside(child: _Node | str) -> None:
+    def beside(child: _Node | str) -> _Steps:
         one = _Node("#one")
         one.children = [child]
-        if loose.children or _render(one, False).strip():
+        if loose.children or (yield _render(one, False)).strip():
             if rows:
-                settle()
+                yield settle()
             loose.children.append(child)
 
-    def begin() -> list[str]:
+    def begin() -> _Steps:
         if loose.children:
-            settle()
+            yield settle()
         rows.append([])
         return rows[-1]
 
-    def walk(part: _Node, row: list[str] | None = None) -> None:
+    def walk(part: _Node, row: list[str] | None = None) -> _Steps:
         later = []
         for child in part.children:
             tag = "" if isinstance(child, str) else child.tag
             if tag in ("td", "th"):
                 # A cell without a row begins one.
-                row = begin() if row is None else row
-                row.append(" ".join(_render(child, False).split()))
+                row = (yield begin()) if row is None else row
+                row.append(" ".join((yield _render(child, False)).split()))
             elif tag and child.hidden:
                 continue
             elif tag in ("tr", "thead", "tbody", "tfoot", "colgroup"):
-                walk(child, begin() if tag == "tr" else None)
+                yield walk(child, (yield begin()) if tag == "tr" else None)
                 row = None
             elif part.tag == "tr":
                 later.append(child)
             else:
-                beside(child)
+                yield beside(child)
                 row = None if loose.children else row
         for child in later:
-            beside(child)
+            yield beside(child)
 
-    walk(node)
-    settle()
+    yield walk(node)
+    yield settle()
     return "\n\n".join(parts)
 
 
@@ -244,7 +268,7 @@ def aligned(rows: list[list[str]]) -> str:
     return "\n".join("  ".join(cell.ljust(widths[c]) if c < len(r) - 1 else cell for c, cell in enumerate(r)).rstrip() for r in rows)
 
 
-def _render(node: _Node, pre: bool, depth: int = 0) -> str:
+def _render(node: _Node, pre: bool, depth: int = 0) -> _Steps:
     out: list[str] = []
     number = 0
     for child in node.children:
@@ -260,25 +284,25 @@ def _render(node: _Node, pre: bool, depth: int = 0) -> str:
         elif tag == "hr":
             out.append("\n\n")
         elif tag == "table":
-            out.append("\n\n" + _table(child) + "\n\n")
+            out.append("\n\n" + (yield _table(child)) + "\n\n")
         elif tag == "pre":
-            out.append("\n\n```\n" + _render(child, True).strip("\n") + "\n```\n\n")
+            out.append("\n\n```\n" + (yield _render(child, True)).strip("\n") + "\n```\n\n")
         elif tag == "code" and not pre:
-            out.append("`" + _render(child, False).strip() + "`")
+            out.append("`" + (yield _render(child, False)).strip() + "`")
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
-            out.append("\n\n" + "#" * int(tag[1]) + " " + " ".join(_render(child, False).split()) + "\n\n")
+            out.append("\n\n" + "#" * int(tag[1]) + " " + " ".join((yield _render(child, False)).split()) + "\n\n")
         elif tag == "li":
             number += 1
             mark = f"{number}. " if node.tag == "ol" else "- "
-            out.append("\n" + "  " * depth + mark + _render(child, False, depth + 1).strip())
+            out.append("\n" + "  " * depth + mark + (yield _render(child, False, depth + 1)).strip())
         elif tag in ("ul", "ol"):
-            out.append("\n" + _render(child, False, depth) + "\n")
+            out.append("\n" + (yield _render(child, False, depth)) + "\n")
         elif tag in ("td", "th"):
-            out.append(_render(child, pre).strip() + "  ")
+            out.append((yield _render(child, pre)).strip() + "  ")
         elif tag in BLOCKS:
-            out.append("\n\n" + _render(child, pre, depth).strip() + "\n\n")
+            out.append("\n\n" + (yield _render(child, pre, depth)).strip() + "\n\n")
         else:
-            out.append(_render(child, pre, depth))
+            out.append((yield _render(child, pre, depth)))
     return "".join(out)
 
 
@@ -292,7 +316,7 @@ def render_html(text: str) -> str:
     # Comparisons such as "x < 5" are no tags: only known elements open one.
     tree.feed(re.sub(r"<(?!/?(?:" + _NAMES + r")\b|!--|!doctype)", "&lt;", text, flags=re.I))
     tree.close()
-    return _tidy(_render(tree.root, False))
+    return _tidy(_finish(_render(tree.root, False)))
 
 
 def _keep(parts: list[str], text: str) -> str:
@@ -306,6 +330,14 @@ def _give_back(parts: list[str], text: str) -> str:
     return text
 
 
+def _while_changed(pattern: re.Pattern, into: str, text: str) -> str:
+    """Nested constructs from the inside out."""
+    found = 1
+    while found:
+        text, found = pattern.subn(into, text)
+    return text
+
+
 def render_latex(text: str) -> str:
     kept: list[str] = []
     text = WINDOWS_PATH.sub(lambda m: _keep(kept, m.group()), text)
@@ -314,8 +346,7 @@ def render_latex(text: str) -> str:
     for a, b in reversed(formulas(text)):
         text = text[:a] + _keep(kept, text[a:b]) + text[b:]
     text = _TEX_HEAD.sub(lambda m: "\n# " + m.group(1) + "\n", text)
-    for _ in range(4):
-        text = _TEX_SPAN.sub(r"\1", text)
+    text = _while_changed(_TEX_SPAN, r"\1", text)
     text = _TEX_NOTE.sub(r" (\1)", text)
     text = _TEX_DROP.sub("", text)
     text = re.sub(r"[ \t]*\\item(?:\[([^\]]*)\])?[ \t]*", lambda m: "- " + (m.group(1) + " " if m.group(1) else ""), text)
@@ -340,8 +371,7 @@ def render_wiki(text: str) -> str:
     text = WIKI_TABLE.sub(table, text)
     text = re.sub(r"^[*#]+[ \t]+", "- ", text, flags=re.M)
     text = WIKI_HEADING.sub(lambda m: "#" * len(m.group(1)) + " " + m.group(2), text)
-    for _ in range(3):
-        text = WIKI_TEMPLATE.sub("", text)
+    text = _while_changed(WIKI_TEMPLATE, "", text)
     text = WIKI_LINK.sub(lambda m: "" if re.match(r"(?i)(category|file|image|kategorie|catégorie|categoría):", m.group(1)) else m.group(1).split("|")[-1], text)
     text = WIKI_URL.sub(lambda m: m.group(2) or m.group(1), text)
     text = WIKI_QUOTES.sub(r"\2", text)

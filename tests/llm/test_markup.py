@@ -62,3 +62,15 @@ def test_everything_visible_in_a_table_is_kept():
     assert render_html("<table>in <b>table</b><tr>in row<td>a</td></tr></table>") == "in table\n\na\n\nin row"
     assert render_html("<table><tr><td>a</td></tr><p>after</p><p>last</p>") == "a\n\nafter\n\nlast"
     assert render_html("<table><tbody><tr><th>x</th></tr>\n<tr><td>y</td></tr></tbody></table>") == "x\ny"
+
+
+def test_no_depth_or_length_is_too_great():
+    from paperloom.llm.markup import detect, render_html
+
+    for depth in (10, 99, 101, 20_000):
+        deep = "<div>" * depth + "seen<p hidden>unseen<b>too</b></p>" + "</div>" * depth
+        assert render_html(deep) == "seen"
+        assert render_html("<div style='display:none'>" + deep + "</div>after") == "after"
+    for size in (10, 2_000):
+        assert detect("let $" + "a_{i} + " * size + "b$ hold") == {"latex"}
+    assert K.clean("\\textbf{" * 30 + "x" + "}" * 30)[0] == "x"
