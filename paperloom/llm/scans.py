@@ -13,8 +13,9 @@ Method:
   nor do halves of words split at a line end.
 * Page furniture. A line of its own that is a printed page number is one; header
   lines have the shape of one (capitals alone, or two titled halves set apart by a
-  dash, a bar or a gap) and cut a sentence or, with digits masked, have a half that
-  other records repeat.
+  dash, a bar or a gap, of at most ``HEADER_WORDS`` words) and cut a sentence, name
+  what the text itself names or, with digits masked, have a half that other records
+  repeat.
 * Split words. With furniture set aside, a line that ends in a hyphen and goes on
   in small letters splits a word, unless the collection writes the hyphenated
   form and not the joined one.
@@ -40,6 +41,8 @@ from paperloom.sources.tables import read_table, shared_checkpoint
 
 RATIO = 10
 BROADCAST_WORDS = 100_000
+#: What a page header is here: a line of at most so many words, however long they are.
+HEADER_WORDS = 14
 
 # Glyphs that scanners confuse, applied in this order.
 SINGLE = ("0159!†", "olsgit")
@@ -51,7 +54,6 @@ PAGE_NUMBER = re.compile(
     r"|\[\s*\d{1,4}\s*\]|[A-Z]-\d{1,4}|\d{1,4}(?:\s*/\s*\d{1,4})?)\s*$",
     re.I,
 )
-CUTS = "#cuts"
 _TITLED = r"[^\W\d_a-zäöüßàâçéèêëîïôûùñáíóú][^|]*?"
 _HALVES = re.compile(rf"^\s*({_TITLED})(?:\s+[-–—|]\s+|\s{{3,}})({_TITLED})\s*$")
 _END = re.compile(r"[.,;:!?]\s*$")
@@ -156,11 +158,11 @@ def _mask(half: str) -> str:
 def header_halves(line: str) -> list[str] | None:
     """Masked halves of a line in the shape of a page header, else None."""
     text = line.strip()
-    if not 4 <= len(text) <= 90 or _END.search(text) or not text[0].isalpha() or PAGE_NUMBER.match(text):
+    if len(text) < 4 or len(text.split()) > HEADER_WORDS or _END.search(text) or not text[0].isalpha() or PAGE_NUMBER.match(text):
         return None
     letters = [c for c in text if c.isalpha()]
     m = _HALVES.match(line)
-    if m and len(text.split()) <= 14:
+    if m:
         a, b = m.group(1).strip(), m.group(2).strip()
         lower = sum(w[0].islower() for half in (a, b) for w in half.split() if w[0].isalpha())
         if lower <= 3 and len(a) > 2 and len(b) > 2:
@@ -170,8 +172,14 @@ def header_halves(line: str) -> list[str] | None:
     return None
 
 
-def furniture(text: str) -> tuple[list[str], list[tuple[int, str]], list[tuple[int, list[str]]], list[tuple[int, str, str]]]:
-    """Lines, page numbers, header candidates and split words (line, first half, second half) of a text."""
+def _names(halves: list[str], lines: list[str], at: int) -> bool:
+    """Whether a half of two words or more stands in another line of the text."""
+    rest = "\n".join(_mask(line) for k, line in enumerate(lines) if k != at)
+    return any(" " in half and half in rest for half in halves)
+
+
+def furniture(text: str) -> tuple[list[str], list[tuple[int, str]], list[tuple[int, list[str], bool]], list[tuple[int, str, str]]]:
+    """Lines, page numbers, header candidates (line, halves, whether the text alone shows it) and split words (line, first half, second half)."""
     lines = text.split("\n")
     capitals = sum(1 for s in lines if s.strip() and s.upper() == s and any(c.isalpha() for c in s))
     numbers, headers = [], []
@@ -184,8 +192,8 @@ def furniture(text: str) -> tuple[list[str], list[tuple[int, str]], list[tuple[i
             last = next((s for s in reversed(lines[:i]) if s.strip() and not PAGE_NUMBER.match(s)), "")
             # A line that cuts a sentence, or opens or closes the text, needs no other record to repeat it.
             cuts = not last or not _END.search(last) or not any(s.strip() for s in lines[i + 1 :])
-            headers.append((i, [*halves, CUTS] if cuts else halves))
-    aside = {i for i, _ in numbers} | {i for i, _ in headers}
+            headers.append((i, halves, cuts or len(halves) > 1 and _names(halves, lines, i)))
+    aside = {i for i, _ in numbers} | {i for i, *_ in headers}
     body = [i for i, line in enumerate(lines) if line.strip() and i not in aside]
     splits = []
     for i, k in zip(body, body[1:]):
@@ -195,35 +203,39 @@ def furniture(text: str) -> tuple[list[str], list[tuple[int, str]], list[tuple[i
     return lines, numbers, headers, splits
 
 
-_LAYOUT = "table_name string, record_id string, at int, noise string, masks array<string>, joined string, hyphenated string"
+_LAYOUT = "table_name string, record_id string, at int, noise string, masks array<string>, shown boolean, joined string, hyphenated string"
 
 
 def layout(records: DataFrame) -> DataFrame:
     """One row a page number, header candidate or split word."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["table_name", "record_id", "at", "noise", "masks", "joined", "hyphenated"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+        names = ["table_name", "record_id", "at", "noise", "masks", "shown", "joined", "hyphenated"]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string()]
         for frame in frames:
             rows = []
             for table, record, text in zip(*(c.to_pylist() for c in frame.columns)):
                 _, numbers, headers, splits = furniture(text)
-                rows += [(table, record, i, "page_number", None, None, None) for i, _ in numbers]
-                rows += [(table, record, i, "running_header", halves, None, None) for i, halves in headers]
-                rows += [(table, record, i, "hyphenation", None, (a + b).lower(), f"{a}-{b}".lower()) for i, a, b in splits]
-            columns = list(zip(*rows)) or [[]] * 7
+                rows += [(table, record, i, "page_number", None, None, None, None) for i, _ in numbers]
+                rows += [(table, record, i, "running_header", halves, shown, None, None) for i, halves, shown in headers]
+                rows += [(table, record, i, "hyphenation", None, None, (a + b).lower(), f"{a}-{b}".lower()) for i, a, b in splits]
+            columns = list(zip(*rows)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return records.filter(F.col("text").contains("\n") | F.length("text").between(1, 90)).mapInArrow(batches, _LAYOUT)
+    # One line of more words than a header has holds no furniture.
+    few = F.size(F.split(F.trim("text"), r"\s+")) <= HEADER_WORDS
+    return records.filter(F.col("text").contains("\n") | few).mapInArrow(batches, _LAYOUT)
 
 
 def confirmed_headers(found: DataFrame) -> DataFrame:
-    """Candidates that cut a sentence, of which another record repeats a masked half, or that call themselves confidential."""
-    candidates = found.filter("noise = 'running_header'").select("table_name", "record_id", "at", "masks")
-    halves = candidates.select("table_name", "record_id", "at", F.explode("masks").alias("mask"))
+    """Candidates that their own text shows, or of which another record repeats a masked half."""
+    candidates = found.filter("noise = 'running_header'")
+    halves = candidates.select("table_name", "record_id", "at", "shown", F.explode("masks").alias("mask"))
     once = halves.select("table_name", "record_id", "mask").distinct()
-    repeated = once.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).filter(f"n > 1 or mask rlike 'confiden' or mask = '{CUTS}'").select("mask")
-    return halves.join(repeated, "mask", "left_semi").select("table_name", "record_id", "at").distinct()
+    repeated = once.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mask")
+    key = ["table_name", "record_id", "at"]
+    others = halves.filter("not shown").join(repeated, "mask", "left_semi").select(*key).distinct()
+    return candidates.filter("shown").select(*key).unionByName(others)
 
 
 def confirmed_splits(found: DataFrame, records: DataFrame, words: DataFrame) -> DataFrame:
@@ -249,7 +261,8 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = records(spark, folder)
+    # Read, parsed and freed of copies once; four steps use it.
+    rows = shared_checkpoint(records(spark, folder))
     words = shared_checkpoint(vocabulary(rows))
     forms = shared_checkpoint(misread_forms(words, records=rows))
     found = shared_checkpoint(layout(rows))
@@ -262,7 +275,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_text(spark: SparkSession, folder: str) -> DataFrame:
     """``table_name, record_id, clean_text``: repaired and reflowed text of every record."""
-    rows = records(spark, folder)
+    # Read, parsed and freed of copies once; four steps use it.
+    rows = shared_checkpoint(records(spark, folder))
     words = shared_checkpoint(vocabulary(rows))
     forms = shared_checkpoint(misread_forms(words, records=rows))
     found = shared_checkpoint(layout(rows))
