@@ -40,3 +40,20 @@ def test_same_draw_twice_and_empty(spark):
     docs, targets = frames(spark, 60)
     assert sorted(map(tuple, X.draw(docs, targets)[0].collect())) == sorted(map(tuple, X.draw(docs, targets)[0].collect()))
     assert X.draw(docs.limit(0), targets)[0].collect() == [] and X.draw(docs, targets.limit(0))[0].collect() == []
+
+
+def test_exchange_lands_within_the_tolerance():
+    rng = np.random.default_rng(4)
+    for n in (40, 900):
+        sizes, p = rng.integers(20, 900, n).astype(float), rng.uniform(0.1, 0.9, n)
+        taken = X.landing(X.flight(p, sizes, rng), rng)
+        better = X.exchange(taken, sizes, float(sizes @ p))
+        assert better.sum() == taken.sum() and abs(sizes @ better - sizes @ p) <= min(20, abs(sizes @ taken - sizes @ p))
+    assert X.exchange(np.array([1.0]), np.array([5.0]), 2.0).tolist() == [1.0] and X.exchange(np.zeros(0), np.zeros(0), 0.0).tolist() == []
+
+
+def test_error_of_a_mix_is_small(spark, folder):
+    rows = X.p9_shares(spark, folder.replace("0.001", "0.01")).toPandas()
+    have = rows[rows["tokens"] > 0]
+    assert (have["actual_share"] - have["reachable_share"]).abs().max() < 0.015
+    assert (have["most_copies"] <= have["max_repeats"]).all()

@@ -67,6 +67,6 @@ def test_headers_by_their_own_text_and_of_any_length():
     name = "Kabom" + "b" * 120 + " Leasing"
     for header in ("Kabom Leasing      Litigation FY2020", f"{name} | Litigation FY2020"):
         text = f"The case of {header.split('   ')[0].split(' |')[0]} is open.\n{header}\nIt was heard in May."
-        assert [(i, shown) for i, _, shown in S.furniture(text)[2]] == [(1, True)]
-    assert [shown for *_, shown in S.furniture("The case is open.\nOther Holdings - Litigation\nIt was heard.")[2]] == [False]
-    assert S.furniture(" ".join(["WORD"] * 15) + "\nx")[2] == []
+        assert [(i, shown) for i, _, shown in C.furniture(text)[2]] == [(1, True)]
+    assert [shown for *_, shown in C.furniture("The case is open.\nOther Holdings - Litigation\nIt was heard.")[2]] == [False]
+    assert C.furniture(" ".join(["WORD"] * 15) + "\nx")[2] == []
