@@ -1,16 +1,22 @@
 """Problem 7: quantities recorded in different units.
 
 Method. A column's unit is the one its heading states, else its title, else a note
-among the row labels, else its cells, else the row's own fields. Values then enter
-the history of their source (workspace and subject) as logarithms of their level.
-An exact penalised changepoint search (optimal partitioning, squared error) cuts
-the history into levels; a shift that matches a known factor marks a change of
-unit. It gives the factor of columns that nothing states, and flags stated ones
-that break with their history; such a shift is reversed in ``p7_values``.
-
-A history is searched in blocks of at most ``BLOCK`` columns, each exact; the edge
-between two blocks is compared level to level, so one source with a third of all
-rows costs many small tasks.
+among the row labels, else its cells, else the row's own fields. Values enter the
+history of their source (workspace and subject) as logarithms of their level, those
+of stated columns in base units. An exact penalised changepoint search (optimal
+partitioning, squared error, functional pruning) cuts the history into levels. The
+stated columns anchor it: where they agree on a level, a segment that stands below
+it by a known factor gives unit and factor to the columns that state none, in
+``p7_found`` and ``p7_values``. Stated columns keep what they state; where their
+history says otherwise, ``shift`` of ``p7_values`` tells by which known factor.
+
+Scale. Rows are range-partitioned in the order of their histories, so a history with
+a third of all rows is many partitions. A step of more than sqrt(6 * PENALTY) lies
+between two segments of every best partition (to split there and around its two ends
+costs three levels and saves more), so histories are cut at such steps from row to
+row, and the pieces are searched apart, still exactly. Edges of partitions are glued
+by a table of one row a partition. A piece without such a step is one task, however
+long; the search takes near-linear time and a few numbers a row.
 
 Defined cases: grids that cannot be read, and tables without columns, give no
 rows; a column without unit, fields and a matching shift stays unknown and is no
@@ -26,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.sources.tables import read_table, shared_checkpoint
 
-BLOCK = 1_000
+#: Rows of a range partition and of a bucket of pieces, on average.
 BUCKET_ROWS = 20_000
 #: Cost of one more level, in squared decades, and how near a shift must be to a known factor.
 PENALTY = 1.0
 NEAR = 0.15
+#: Widest middle half of stated columns, in decades, that counts as agreement on a level, and how near a factor must then be.
+AGREED, NEAR_LEVEL = 0.8, 0.4
 
 # Spellings of scales, currencies and physical units.
 SCALES = {
@@ -196,7 +204,7 @@ COLUMNS = (
 
 
 def columns_of(tables: DataFrame) -> DataFrame:
-    """One row a value column: its unit, where that is stated, whether the row's fields say the same, and its values."""
+    """One row a value column: its unit and base unit, where that is stated, whether the row's fields say the same, and its values."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -233,27 +241,60 @@ def columns_of(tables: DataFrame) -> DataFrame:
             yield out
 
     chosen = tables.select("table_id", "workspace_id", "title", "unit", "scale", "currency", "grid_json").distinct()
-    return chosen.mapInPandas(run, COLUMNS)
+    base = F.create_map(*(F.lit(x) for name, (unit, _, _) in PHYSICAL.items() for x in (name, unit)))
+    return chosen.mapInPandas(run, COLUMNS).withColumn("base_unit", F.coalesce(F.col("currency"), base[F.col("unit")]))
+
+
+def _common(spans: list[tuple[float, float]], low: float, high: float) -> list[tuple[float, float]]:
+    return [(max(a, low), min(b, high)) for a, b in spans if max(a, low) <= min(b, high)]
+
+
+def _without(spans: list[tuple[float, float]], low: float, high: float) -> list[tuple[float, float]]:
+    return [part for a, b in spans for part in ((a, min(b, low)), (max(a, high), b)) if part[0] < part[1]]
 
 
 def best_partition(values: np.ndarray, penalty: float = PENALTY) -> list[int]:
-    """Starts of the levels of least squared error plus ``penalty`` a level: exact, by pruned dynamic programming."""
-    n = len(values)
-    one, two = np.concatenate([[0.0], np.cumsum(values)]), np.concatenate([[0.0], np.cumsum(values**2)])
-    cost = np.full(n + 1, np.inf)
-    cost[0] = -penalty
-    last = np.zeros(n + 1, int)
-    open_ = np.array([0])
-    for t in range(1, n + 1):
-        size = t - open_
-        error = np.maximum(0.0, two[t] - two[open_] - (one[t] - one[open_]) ** 2 / size)
-        total = cost[open_] + error + penalty
-        k = int(np.argmin(total))
-        cost[t], last[t] = total[k], open_[k]
-        open_ = np.append(open_[cost[open_] + error <= cost[t]], t)
-    starts, t = [], n
+    """Starts of the levels of least squared error plus ``penalty`` a level: exact, by functional pruning.
+
+    An open segment is a parabola of its cost over its level, kept with the levels at
+    which no other open segment is cheaper; it is dropped when none is left.
+    """
+    y = [float(v) for v in values]
+    if not y:
+        return []
+    every = [(min(y) - 1.0, max(y) + 1.0)]
+    cost, last = [-penalty], [0]
+    segments: list[list] = []  # start, rows, sum, sum of squares + cost so far, levels
+    for t, v in enumerate(y):
+        begin = cost[t] + penalty
+        fresh = every
+        alive = []
+        for segment in segments:
+            start, n, total, square, spans = segment
+            room = (begin - square + total * total / n) / n
+            if room <= 0:
+                continue
+            low, high = total / n - math.sqrt(room), total / n + math.sqrt(room)
+            fresh = _without(fresh, low, high)
+            if spans := _common(spans, low, high):
+                segment[4] = spans
+                alive.append(segment)
+        if fresh or not alive:
+            alive.append([t, 0, 0.0, begin, fresh or every])
+        best, at = math.inf, t
+        for segment in alive:
+            segment[1] += 1
+            segment[2] += v
+            segment[3] += v * v
+            least = segment[3] - segment[2] * segment[2] / segment[1]
+            if least < best:
+                best, at = least, segment[0]
+        segments = alive
+        cost.append(best)
+        last.append(at)
+    starts, t = [], len(y)
     while t > 0:
-        starts.append(int(last[t]))
+        starts.append(last[t])
         t = last[t]
     return starts[::-1]
 
@@ -266,50 +307,126 @@ def known_shift(step: float) -> float | None:
     return math.copysign(near, step) if abs(near - abs(step)) <= NEAR else None
 
 
-def histories(columns: DataFrame) -> DataFrame:
-    """``table_id, col_idx, shift``: known factors (log10) by which a column's level stands off from the first level of its history."""
+_ORDER = ["history", "year", "table_id", "col_idx"]
+_PIECES = "history string, year int, table_id string, col_idx int, y double, anchor string, partition int, piece bigint"
+
+
+def _pieces(ordered: DataFrame) -> DataFrame:
+    """Rows with the number of their piece in their partition; pieces end at steps that are certain changepoints."""
+    jump = math.sqrt(6 * PENALTY)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        here, piece, history, y = TaskContext.get().partitionId(), 0, None, None
+        for frame in frames:
+            if frame.empty:
+                continue
+            before = np.concatenate([[frame["y"].iloc[0] if y is None else y], frame["y"].to_numpy()[:-1]])
+            names = np.concatenate([[frame["history"].iloc[0] if history is None else history], frame["history"].to_numpy()[:-1]])
+            starts = (names != frame["history"].to_numpy()) | (np.abs(frame["y"].to_numpy() - before) > jump)
+            numbers = piece + np.cumsum(starts)
+            piece, history, y = int(numbers[-1]), frame["history"].iloc[-1], frame["y"].iloc[-1]
+            yield frame.assign(partition=here, piece=numbers)
+
+    return ordered.mapInPandas(cut, _PIECES)
+
+
+def _glued(pieces: DataFrame) -> dict[int, tuple[int, int]]:
+    """First pieces of partitions that go on from a piece before: one row a partition at the driver, whatever the rows."""
+    place = F.struct("piece", "year", "table_id", "col_idx")
+    ends = pieces.groupBy("partition").agg(
+        F.min_by(F.struct("history", "y"), F.struct("history", place)).alias("first"), F.max_by(F.struct("history", "y", "piece"), F.struct("history", place)).alias("last")
+    )
+    found: dict[int, tuple[int, int]] = {}
+    before = None
+    for row in sorted(ends.collect(), key=lambda r: r["partition"]):
+        if before and before["last"]["history"] == row["first"]["history"] and abs(before["last"]["y"] - row["first"]["y"]) <= math.sqrt(6 * PENALTY):
+            at = (before["partition"], before["last"]["piece"])
+            found[row["partition"]] = found.get(at[0], at) if at[1] == 0 else at
+        before = row
+    return found
+
+
+def segments(columns: DataFrame) -> DataFrame:
+    """``history, table_id, col_idx, y, anchor, mean``: every column with a level, and the mean of its segment."""
+    spark = columns.sparkSession
     stated_level = F.col("level") + F.coalesce(F.log10(F.col("factor").cast("double")), F.lit(0.0))
-    series = columns.filter("level is not null").select("workspace_id", "subject", "year", "table_id", "col_idx", stated_level.alias("y"))
-    order = Window.partitionBy("workspace_id", "subject").orderBy("year", "table_id", "col_idx")
-    blocks = series.withColumn("b", F.floor((F.row_number().over(order) - 1) / BLOCK))
-
-    def cut(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        part = part.sort_values(["year", "table_id", "col_idx"], kind="stable")
-        for _, block in part.groupby(["workspace_id", "subject", "b"], dropna=False, sort=False):
-            y = block["y"].to_numpy()
-            bounds = [*best_partition(y), len(y)]
-            segment = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            mean = np.repeat([y[i:j].mean() for i, j in zip(bounds, bounds[1:])], np.diff(bounds))
-            out.append(block.assign(segment=segment.astype("int32"), mean=mean))
-        return pd.concat(out)[["workspace_id", "subject", "b", "segment", "mean", "table_id", "col_idx"]]
-
-    # Blocks are small; a task takes a bucket of them, of some BUCKET_ROWS columns.
-    buckets = max(1, math.ceil(columns.count() / BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("workspace_id", "subject", "b"), F.lit(buckets))
-    cuts = blocks.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
-        cut, "workspace_id string, subject string, b bigint, segment int, mean double, table_id string, col_idx int"
+    series = columns.filter("level is not null").select(
+        F.to_json(F.struct("workspace_id", "subject")).alias("history"), "year", "table_id", "col_idx", stated_level.alias("y"), F.col("base_unit").alias("anchor")
+    )
+    parts = max(1, math.ceil(columns.count() / BUCKET_ROWS))
+    # The checkpoint fixes which rows a partition holds.
+    pieces = shared_checkpoint(_pieces(series.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)))
+    glue = spark.createDataFrame([(p, *at) for p, at in _glued(pieces).items()] or [(-1, -1, -1)], "partition int, to_partition int, to_piece bigint")
+    # One row a partition at most: small by construction.
+    glue = F.broadcast(glue.withColumn("piece", F.lit(0).cast("bigint")))
+    whole = pieces.join(glue, ["partition", "piece"], "left").select(
+        "history", "year", "table_id", "col_idx", "y", "anchor", F.coalesce("to_partition", "partition").alias("p"), F.coalesce("to_piece", "piece").alias("k")
     )
-    # The level that a history opens with is its unit of reference; every segment is held against it.
-    opening = cuts.groupBy("workspace_id", "subject").agg(F.min_by("mean", F.struct("b", "segment")).alias("first"))
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["p", "k", "year", "table_id", "col_idx"], kind="stable", ignore_index=True)
+        y = part["y"].to_numpy()
+        edges = np.flatnonzero((part["p"].diff() != 0) | (part["k"].diff() != 0)).tolist() + [len(part)]
+        starts = [a + s for a, b in zip(edges, edges[1:]) for s in best_partition(y[a:b])] + [len(part)]
+        sizes = np.diff(starts)
+        part["mean"] = np.repeat(np.add.reduceat(y, starts[:-1]) / sizes, sizes) if len(part) else 0.0
+        return part[["history", "table_id", "col_idx", "y", "anchor", "mean"]]
+
+    bucket = F.pmod(F.xxhash64("p", "k"), F.lit(parts))
+    return whole.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
+        search, "history string, table_id string, col_idx int, y double, anchor string, mean double"
+    )
+
+
+def histories(columns: DataFrame) -> DataFrame:
+    """``table_id, col_idx, shift, below, level_unit``.
+
+    ``shift`` is the known factor (log10) by which a stated column's segment stands off
+    from the level of its history; ``below`` the decades by which any segment stands
+    under it, where the stated columns of base unit ``level_unit`` agree on one.
+    """
+    cuts = shared_checkpoint(segments(columns))
+    # Quantiles by sketch: partial sums of bounded size before the shuffle.
+    quarter = F.percentile_approx("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    levels = cuts.filter("anchor is not null").groupBy("history", "anchor").agg(F.count(F.lit(1)).alias("n"), quarter.alias("q"))
+    levels = levels.groupBy("history").agg(F.max_by(F.struct("anchor", "q"), F.struct("n", "anchor")).alias("l"))
+    levels = levels.select("history", F.col("l.anchor").alias("level_unit"), F.col("l.q")[1].alias("at"), (F.col("l.q")[2] - F.col("l.q")[0]).alias("spread"))
 
     @F.pandas_udf("double")
     def matched(step: pd.Series) -> pd.Series:
         return step.map(lambda s: known_shift(s) if s == s and abs(s) > NEAR else 0.0).astype(float)
 
-    null_safe = cuts.alias("c").join(
-        opening.alias("o"), F.col("c.workspace_id").eqNullSafe(F.col("o.workspace_id")) & F.col("c.subject").eqNullSafe(F.col("o.subject"))
+    both = cuts.join(levels, "history")
+    shift = F.when(F.col("anchor") == F.col("level_unit"), matched(F.col("mean") - F.col("at")))
+    return both.select(
+        "table_id", "col_idx", shift.alias("shift"), F.when(F.col("spread") <= AGREED, F.col("at") - F.col("mean")).alias("below"), "level_unit"
     )
-    return null_safe.select("table_id", "col_idx", matched(F.col("mean") - F.col("first")).alias("shift"))
+
+
+#: Name and factor of the units of a base unit, as struct array column.
+def _units_of(base: Column) -> Column:
+    money = [(name, factor) for name, (factor, _) in SCALES.items()]
+    physical = [(name, unit, factor) for name, (unit, factor, _) in PHYSICAL.items()]
+    pairs = F.when(base.isin(*CURRENCIES), F.array(*(F.struct(F.lit(n).alias("name"), F.lit(f).cast("bigint").alias("factor")) for n, f in money)))
+    for unit in {u for _, u, _ in physical}:
+        pairs = pairs.when(base == unit, F.array(*(F.struct(F.lit(n).alias("name"), F.lit(f).cast("bigint").alias("factor")) for n, u, f in physical if u == unit)))
+    return pairs
 
 
 def harmonised(tables: DataFrame) -> DataFrame:
-    """Columns with ``base_unit`` and ``factor``; ``inferred`` where only the history gives the factor, ``shift`` where it disagrees."""
+    """Columns with ``base_unit`` and ``factor``, stated or else (place "history") inferred; ``shift`` where a history disagrees."""
     columns = shared_checkpoint(columns_of(tables))
     both = columns.join(histories(columns), ["table_id", "col_idx"], "left")
-    inferred = F.when(F.col("unit").isNull() & F.col("shift").isNotNull() & (F.col("shift") < 0), F.round(F.pow(F.lit(10.0), -F.col("shift"))).cast("bigint"))
-    base = F.create_map(*(F.lit(x) for name, (unit, _, _) in PHYSICAL.items() for x in (name, unit)))
-    return both.withColumn("inferred", inferred).withColumn("base_unit", F.coalesce(F.col("currency"), base[F.col("unit")]))
+    near = F.filter(_units_of(F.col("level_unit")), lambda u: F.abs(F.log10(u["factor"].cast("double")) - F.col("below")) <= NEAR_LEVEL)
+    one = F.when(F.col("unit").isNull() & (F.size(near) == 1), near[0])
+    both = both.withColumn("one", one).withColumn("by_history", F.col("one").isNotNull())
+    return both.select(
+        "table_id", "col_idx", "cells", (F.col("right_fields") & ~F.col("by_history")).alias("right_fields"), F.coalesce("unit", "one.name").alias("unit"), F.coalesce("factor", "one.factor").alias("factor"),
+        F.when(F.col("by_history"), F.col("level_unit")).otherwise(F.col("base_unit")).alias("base_unit"),
+        F.when(F.col("by_history"), "history").otherwise(F.col("place")).alias("place"), "shift",
+    )
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -318,9 +435,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Every value in its base unit; ``shift`` tells by which known factor its history says otherwise."""
+    """Every value in its base unit; ``place`` tells who states the unit, ``shift`` by which known factor a stated column's history says otherwise."""
     rows = harmonised(read_table(spark, folder, "tables_store"))
-    cells = rows.select("table_id", "col_idx", "base_unit", "place", "shift", F.coalesce("factor", "inferred").alias("factor"), F.explode("cells").alias("c"))
+    cells = rows.select("table_id", "col_idx", "base_unit", "place", "shift", "factor", F.explode("cells").alias("c"))
     value = F.round(F.col("c.value") * F.coalesce("factor", F.lit(1)), 6)
     return cells.filter("c.value is not null").select(
         "table_id", "col_idx", F.col("c.ridx").alias("ridx"), F.col("c.label").alias("label"), "base_unit", "factor", value.alias("base_value"), "place", "shift"
