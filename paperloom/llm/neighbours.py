@@ -4,10 +4,13 @@ Method: a forest of random-projection trees, searched through one priority queue
 shared by all trees, then exact ranking of the leaves' candidates.
 
 * A tree splits by the hyperplane between two random sample points at the median
-  projection. The forest is fitted on a bounded sample (``SAMPLE_ROWS``); every
-  row is indexed and every row searched. Depth follows the number of vectors up
-  to ``MOST_DEPTH``, so that the broadcast forest has a fixed largest size
-  (``TREES * 2**MOST_DEPTH`` hyperplanes, 4 MB a tree).
+  projection. Depth follows the number of vectors, so that a leaf holds some
+  ``LEAF_ROWS`` of them at any size; every row is indexed and every row searched.
+  The first ``TOP_DEPTH`` levels are fitted on a bounded sample (``SAMPLE_ROWS``)
+  and broadcast (``TREES * 2**TOP_DEPTH`` hyperplanes, 1 MB a tree). Deeper levels
+  are subtrees of ``STEP_DEPTH`` levels, each fitted on a bounded sample of the rows
+  of its own node and kept as a table; rows meet their subtrees in a stream sorted
+  by node, so that no task holds a node's rows, and go on in the same queue.
 * The priority of a leaf is the least signed margin on its path. It never rises
   downwards, so keeping the best ``LEAVES`` nodes over all trees at each level
   gives the leaves that a best-first queue would pop, for a whole batch at once.
@@ -41,7 +44,10 @@ TREES = 4
 LEAVES = 16
 LEAF_ROWS = 256
 SAMPLE_ROWS = 32_768
-MOST_DEPTH = 12
+TOP_DEPTH = 12
+STEP_DEPTH = 8
+#: Sample rows of a node's own subtree, for each of its leaves.
+FIT_ROWS = 32
 TASK_BYTES = 8 << 20
 #: Cosines of the 16-bit form differ by less than this from the exact ones (some 4e-6 as a rule).
 SLACK = 5e-5
@@ -102,6 +108,18 @@ class Forest:
                     halves += [part[at < cut], part[at >= cut]]
                 parts = halves
 
+    @classmethod
+    def of(cls, raw: bytes, depth: int, dims: int) -> Forest:
+        """One tree from ``packed``."""
+        tree = cls.__new__(cls)
+        tree.depth, tree.trees, tree.nodes = depth, 1, 2**depth - 1
+        table = np.frombuffer(raw, np.float32).reshape(tree.nodes, dims + 1)
+        tree.normals, tree.cuts = table[:, :dims], table[:, dims]
+        return tree
+
+    def packed(self) -> bytes:
+        return np.concatenate([self.normals, self.cuts[:, None]], 1).astype(np.float32).tobytes()
+
     def leaves(self, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Leaf numbers and priorities of the best ``most`` leaves over all trees, own leaves with priority 0."""
         tree = np.tile(np.arange(self.trees), (len(rows), 1))
@@ -130,6 +148,146 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return (rows / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
 
 
+def _short(unit: np.ndarray, kind: type) -> tuple[np.ndarray, pa.Array]:
+    """Scale and bytes of unit vectors in small integers."""
+    scale = np.abs(unit).max(1).astype(np.float64) / np.iinfo(kind).max
+    return scale, pa.array([r.tobytes() for r in np.rint(unit / scale[:, None]).astype(kind)], pa.binary())
+
+
+def index(
+    classes: DataFrame, count: int, dims: int, *, trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
+    """``leaf, own, id, many, scale, q`` of ``id, vec, many``: each row in its own leaf of every tree and the others it is searched in.
+
+    A node's number is ``trees`` times its place in heap order, plus its tree; so it tells the depth as well.
+    """
+    spark = classes.sparkSession
+    depth = max(0, math.ceil(math.log2(max(1, count) / leaf_rows)))
+    top = min(TOP_DEPTH, depth)
+    most = max(leaves, trees)
+    # Rows whose hash falls under SAMPLE_ROWS / count: that many on average, whatever the number of partitions.
+    share = min(1.0, SAMPLE_ROWS / max(1, count))
+    sample = classes.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "vec").toPandas()
+    sample = sample.sort_values("id", ignore_index=True)["vec"]
+    points = _unit(np.frombuffer(b"".join(map(bytes, sample)), np.float32).reshape(-1, dims)) if len(sample) else np.zeros((0, dims), np.float32)
+    forest = spark.sparkContext.broadcast(Forest(points, top, trees))
+
+    def assigned(kind: type, wide: int):
+        """Rows in the best ``wide`` nodes of the broadcast levels, vectors in small integers."""
+
+        def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            woods = forest.value
+            for frame in frames:
+                for start in range(0, frame.num_rows, 2000):
+                    part = frame.slice(start, 2000)
+                    unit = _unit(_vectors(part.column(1), dims))
+                    at, priority = woods.leaves(unit, wide)
+                    tree, place = at >> woods.depth, at & (2**woods.depth - 1)
+                    yield _rows(part, unit, (2**woods.depth + place) * trees + tree, priority, kind)
+
+        return batches
+
+    def _rows(part: pa.RecordBatch, unit: np.ndarray, node: np.ndarray, priority: np.ndarray, kind: type) -> pa.RecordBatch:
+        scale, packed = _short(unit, kind)
+        take = pa.array(np.repeat(np.arange(len(unit)), node.shape[1]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node.ravel().astype(np.int64)), pa.array(priority.ravel().astype(np.float32)), part.column(0).take(take),
+             part.column(2).take(take), pa.array(scale).take(take), packed.take(take)],
+            ["leaf", "priority", "id", "many", "scale", "q"],
+        )
+
+    schema = "leaf bigint, priority float, id string, many boolean, scale double, q binary"
+    source = classes.select("id", "vec", "many")
+    finish = source.mapInArrow(assigned(np.int16, most), schema)
+    models: list[tuple[int, DataFrame]] = []
+    while top + sum(step for step, _ in models) < depth:
+        at = top + sum(step for step, _ in models)
+        step = min(STEP_DEPTH, depth - at)
+        rate = min(1.0, FIT_ROWS * 2.0 ** (at + step) / count)
+        drawn = source.filter(F.pmod(F.xxhash64("id", F.lit(at)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+        own = _deepened(drawn.mapInArrow(assigned(np.int8, trees), schema), models, dims, trees, count, only_own=True)
+        models.append((step, shared_checkpoint(_subtrees(own, step, dims))))
+    if models:
+        # What travels to the subtrees is small; the 16-bit vectors join the chosen leaves afterwards.
+        met = _deepened(source.mapInArrow(assigned(np.int8, most), schema), models, dims, trees, count, leaves=most)
+        chosen = met.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("priority", "leaf")), asc=False), 1, most).alias("c"))
+
+        def given(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                unit = _unit(_vectors(frame.column(1), dims))
+                sizes = np.diff(frame.column(3).offsets.to_numpy())
+                scale, packed = _short(unit, np.int16)
+                take = pa.array(np.repeat(np.arange(len(unit)), sizes))
+                flat = frame.column(3).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [flat.field("leaf"), flat.field("priority"), frame.column(0).take(take), frame.column(2).take(take), pa.array(scale).take(take), packed.take(take)],
+                    ["leaf", "priority", "id", "many", "scale", "q"],
+                )
+
+        finish = source.join(chosen, "id").select("id", "vec", "many", "c").mapInArrow(given, schema)
+    return finish.select("leaf", (F.col("priority") == 0).alias("own"), "id", "many", "scale", "q")
+
+
+def _subtrees(own: DataFrame, step: int, dims: int) -> DataFrame:
+    """``leaf, model``: a subtree for each node, fitted on the sampled rows of its own (a bounded number, see FIT_ROWS)."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        rows = np.frombuffer(b"".join(table.column("q").to_pylist()), np.int8).reshape(-1, dims) * table.column("scale").to_numpy()[:, None]
+        leaf = table.column("leaf")[0].as_py()
+        model = Forest(rows.astype(np.float32), step, 1, seed=leaf).packed()
+        return pa.table({"leaf": pa.array([leaf], pa.int64()), "model": pa.array([model], pa.binary())})
+
+    return own.groupBy("leaf").applyInArrow(fit, "leaf bigint, model binary")
+
+
+def _deepened(
+    rows: DataFrame, models: list[tuple[int, DataFrame]], dims: int, trees: int, count: int, *, only_own: bool = False, leaves: int = LEAVES
+) -> DataFrame:
+    """Rows in nodes below, by the subtrees in ``models``; of each node its best few, own nodes more than others."""
+    wide = 1 if only_own else max(1, leaves // 2)
+    narrow = 1 if only_own else max(1, leaves // 4)
+    for step, table in models:
+
+        def down(frames: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
+            node, tree = None, None
+            for frame in frames:
+                nodes = frame.column(0).to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(nodes)) + 1), frame.num_rows]
+                for a, b in zip(edges, edges[1:]):
+                    if nodes[a] != node:
+                        node, tree = nodes[a], None
+                    # A node's subtree comes before its rows.
+                    if (raw := frame.column(6)[a].as_py()) is not None:
+                        tree, a = Forest.of(raw, step, dims), a + 1
+                    if a == b:
+                        continue
+                    part = frame.slice(a, b - a)
+                    unit = np.frombuffer(b"".join(part.column(5).to_pylist()), np.int8).reshape(-1, dims) * part.column(4).to_numpy()[:, None]
+                    before = part.column(1).to_numpy()
+                    if tree is None:
+                        place, priority = np.zeros((len(unit), 1), int), np.zeros((len(unit), 1), np.float32)
+                    else:
+                        place, priority = tree.leaves(unit.astype(np.float32), min(wide, 2**step))
+                    priority = np.minimum(priority, before[:, None])
+                    order = np.argsort(-priority, axis=1, kind="stable")
+                    place, priority = np.take_along_axis(place, order, 1), np.take_along_axis(priority, order, 1)
+                    heap, number = divmod(int(node), trees)
+                    kept = np.arange(place.shape[1])[None, :] < np.where(before == 0, wide, narrow)[:, None]
+                    take = pa.array(np.nonzero(kept)[0])
+                    below = (heap * 2**step + place[kept]) * trees + number
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(below.astype(np.int64)), pa.array(priority[kept].astype(np.float32)), *(part.column(c).take(take) for c in (2, 3, 4, 5))],
+                        ["leaf", "priority", "id", "many", "scale", "q"],
+                    )
+
+        tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * leaves * (dims + 72) / TASK_BYTES / 4))
+        both = rows.withColumn("model", F.lit(None).cast("binary")).unionByName(table, allowMissingColumns=True)
+        both = both.withColumn("k", F.col("model").isNull()).repartition(tasks, "leaf").sortWithinPartitions("leaf", "k").drop("k")
+        rows = both.mapInArrow(down, "leaf bigint, priority float, id string, many boolean, scale double, q binary")
+    return rows
+
+
 def nearest(
     df: DataFrame, key: str, vector: str, *, dims: int, k: int = 5, min_cosine: float = -1.0,
     trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS,
@@ -141,35 +299,7 @@ def nearest(
     classes = rows.groupBy("direction").agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec"), F.min("id") != F.max("id"))
     classes = shared_checkpoint(classes.toDF("direction", "id", "vec", "many"))
     count = classes.count()
-    depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(max(1, count) / leaf_rows))))
-    # Rows whose hash falls under SAMPLE_ROWS / count: that many on average, whatever the number of partitions.
-    share = min(1.0, SAMPLE_ROWS / max(1, count))
-    sample = classes.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "vec").toPandas()
-    sample = sample.sort_values("id", ignore_index=True)["vec"]
-    points = _unit(np.frombuffer(b"".join(map(bytes, sample)), np.float32).reshape(-1, dims)) if len(sample) else np.zeros((0, dims), np.float32)
-    forest = spark.sparkContext.broadcast(Forest(points, depth, trees))
-
-    def assign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        woods = forest.value
-        for frame in frames:
-            for start in range(0, frame.num_rows, 2000):
-                part = frame.slice(start, 2000)
-                unit = _unit(_vectors(part.column(1), dims))
-                leaf, priority = woods.leaves(unit, max(leaves, woods.trees))
-                scale = np.abs(unit).max(1) / 32767
-                short = np.rint(unit / scale[:, None]).astype(np.int16)
-                take = np.repeat(np.arange(len(unit)), leaf.shape[1])
-                packed = pa.array([r.tobytes() for r in short], pa.binary())
-                at = pa.array(take)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf.ravel().astype(np.int32)), pa.array(priority.ravel() == 0), part.column(0).take(at),
-                     part.column(2).take(at), pa.array(np.repeat(scale, leaf.shape[1]), pa.float64()), packed.take(at)],
-                    ["leaf", "own", "id", "many", "scale", "q"],
-                )
-
-    spread = classes.select("id", "vec", "many").mapInArrow(
-        assign, "leaf int, own boolean, id string, many boolean, scale double, q binary"
-    )
+    spread = index(classes, count, dims, trees=trees, leaves=leaves, leaf_rows=leaf_rows)
 
     def search(table: pa.Table) -> pa.Table:
         ids, many = table.column("id").combine_chunks(), table.column("many").to_numpy(zero_copy_only=False)

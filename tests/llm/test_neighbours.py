@@ -54,3 +54,22 @@ def test_shared_queue_keeps_the_best_leaves():
     for r in range(50):
         assert np.allclose(np.sort(a[r])[::-1], np.sort(b[r])[::-1][:6])
         assert (b[r] == 0).sum() == 3
+
+
+def test_deeper_levels_keep_recall_and_leaves_small(spark, monkeypatch):
+    """Beyond the broadcast levels the forest goes on by subtrees, in one round or several."""
+    rows = data(5, 3000)
+    want = brute(rows, 5, 0.85)
+    df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    classes = V.usable(df, "chunk_id", "embedding", 8).selectExpr("id", "vec", "false as many")
+    recall = {}
+    for top, step in ((12, 8), (2, 8), (2, 1)):
+        monkeypatch.setattr(V, "TOP_DEPTH", top)
+        monkeypatch.setattr(V, "STEP_DEPTH", step)
+        spread = V.index(classes, 3000, 8, leaf_rows=128).select("leaf", "own", "id").toPandas()
+        own = spread[spread["own"]]
+        assert (own.groupby("id")["leaf"].nunique() == V.TREES).all() and (spread.groupby("id")["leaf"].count() <= V.LEAVES).all()
+        assert own.groupby("leaf").size().max() <= 4 * 128 and own["leaf"].nunique() > V.TREES * 16
+        got = set(run(spark, rows, k=5, min_cosine=0.85, leaf_rows=128))
+        recall[top, step] = len(got & want) / len(want)
+    assert min(recall.values()) >= 0.95 and min(recall.values()) >= recall[12, 8] - 0.03, recall
