@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import content_words
-from paperloom.operators.layout import blocks, valid_box
+from paperloom.operators.layout import _BLOCKS, _VALID, blocks, valid_box
 from paperloom.sources.tables import read_table
 
 #: Statuses from best to worst (fixed values).
@@ -135,6 +135,8 @@ def integrity(rows: DataFrame, documents: DataFrame) -> DataFrame:
         ("adjacent_repeat", "low", (content == F.col("last")) & (F.length(content) >= 12)),
         ("unknown_type", "low", ~F.col("type").isin("heading", "paragraph", "list", "table", "figure", "chart", "equation", "header", "footer", "unknown")),
     )
+    if "heading_level" in rows.columns:
+        rules += (("malformed_metadata", "medium", (F.col("type") == "heading") & ~F.col("heading_level").between(1, 6)),)
     # One pass over the blocks: every row tests all rules, then only hits are kept.
     hits = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity"))) for code, level, test in rules)))
     found = marked.select("doc_id", F.col("block_id").alias("item"), F.explode(hits).alias("h")).select("doc_id", "item", "h.code", "h.severity")
@@ -166,14 +168,39 @@ def worst_status(statuses: Column) -> Column:
     return F.max_by(statuses, rank[statuses])
 
 
+def empty_units(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """``doc_id, item, code, severity``: pages of a document with blocks that hold none."""
+    pages = rows.groupBy("doc_id").agg(F.collect_set("page").alias("pages"))
+    known = documents.filter("page_count >= 1").join(pages, "doc_id")
+    lost = known.select("doc_id", F.explode(F.array_except(F.sequence(F.lit(1), F.col("page_count")), "pages")).alias("page"))
+    return lost.select("doc_id", page_unit(F.col("page")).alias("item"), F.lit("unit_without_blocks").alias("code"), F.lit("low").alias("severity"))
+
+
+def page_unit(page: Column) -> Column:
+    return F.concat_ws(":", "doc_id", page)
+
+
+def roll_up(rows: DataFrame, issues: DataFrame) -> DataFrame:
+    """``doc_id, unit, evidence, high, medium, low, status`` of every unit; no issue is lost.
+
+    The units are the pages with blocks, the pages without and, for issues that belong
+    to no block (their item is a document or a page), the document or page they name.
+    """
+    place = rows.select("doc_id", F.col("block_id").alias("item"), page_unit(F.col("page")).alias("unit")).distinct()
+    placed = issues.join(place, ["doc_id", "item"], "left").select("doc_id", F.coalesce("unit", "item").alias("unit"), "severity")
+    pages = rows.groupBy("doc_id", page_unit(F.col("page")).alias("unit")).agg(F.count_if(F.col("bbox").isNotNull()).alias("evidence"))
+    named = placed.select("doc_id", "unit", F.lit(0).cast("bigint").alias("evidence"))
+    units = pages.unionByName(named).groupBy("doc_id", "unit").agg(F.max("evidence").alias("evidence"))
+    return decide(placed.select("unit", "severity"), units, "unit")
+
+
 def verify_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages decided by their issues, documents by their worst page."""
+    """Units decided by their issues, documents by their worst unit."""
     rows = blocks(spark, folder)
-    issues = integrity(rows, read_table(spark, folder, "documents", "doc_id", "page_count"))
-    place = rows.select(F.col("block_id").alias("item"), F.concat_ws(":", "doc_id", "page").alias("unit")).distinct()
-    units = rows.groupBy("doc_id", F.concat_ws(":", "doc_id", "page").alias("unit")).agg(F.count_if(F.col("bbox").isNotNull()).alias("evidence"))
-    decided = decide(issues.join(place, "item").select("unit", "severity"), units, "unit")
-    return decided.groupBy("doc_id").agg(worst_status(F.col("status")).alias("status"), F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == "verified").alias("verified"))
+    documents = read_table(spark, folder, "documents", "doc_id", "page_count")
+    decided = roll_up(rows, integrity(rows, documents).unionByName(empty_units(rows, documents)))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+    return decided.groupBy("doc_id").agg(worst_status(F.col("status")).alias("status"), F.count(F.lit(1)).alias("units"), *counts)
 
 
 def verify_grounding(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,7 +222,34 @@ _W = "unnest(regexp_extract_all(lower(replace({0}, 'İ', 'i' || chr(775))), '\\p
 _DIFF = """f AS (SELECT {k}, word, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b USING ({k}, word)),
     g AS (SELECT {k}, sum(greatest(x - y, 0)) AS missing, sum(greatest(y - x, 0)) AS extra, sum(least(x, y)) AS kept, sum(x) AS words,
           sum(CASE WHEN regexp_matches(word, '\\d') THEN greatest(x - y, 0) ELSE 0 END) AS missing_numbers FROM f GROUP BY {k})"""
+_RULES = (
+    ("duplicate_block_id", "high", "copies > 1"), ("missing_required_field", "high", "content IS NULL AND type NOT IN ('figure', 'chart')"), ("invalid_page_reference", "high", "coalesce(page < 1, true)"),
+    ("empty_content", "medium", "trim(content) = ''"), ("control_characters", "medium", "regexp_matches(content, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')"), ("replacement_character", "medium", "contains(content, '\ufffd')"),
+    ("invalid_bbox", "medium", f"bbox IS NOT NULL AND NOT {_VALID}"), ("missing_bbox", "info", "bbox IS NULL"), ("invalid_confidence", "medium", "NOT confidence BETWEEN 0 AND 1"),
+    ("missing_confidence", "info", "confidence IS NULL"), ("review_requested", "low", "requires_review"), ("missing_reading_order", "low", "reading_order IS NULL"),
+    ("duplicate_reading_order", "low", "reading_order IS NOT NULL AND order_copies > 1"), ("reading_order_not_monotonic", "low", "reading_order < before"),
+    ("adjacent_repeat", "low", "content = last AND length(content) >= 12"), ("malformed_metadata", "medium", "type = 'heading' AND NOT heading_level BETWEEN 1 AND 6"),
+    ("unknown_type", "low", "type NOT IN ('heading', 'paragraph', 'list', 'table', 'figure', 'chart', 'equation', 'header', 'footer', 'unknown')"),
+)
+_ISSUES = (
+    _BLOCKS + """, x AS (SELECT doc_id, block_id, (json->>'reading_order')::INT AS reading_order, (json->>'requires_review')::BOOLEAN AS requires_review,
+              try_cast(json->'metadata'->>'heading_level' AS DOUBLE)::INT AS heading_level FROM ok WHERE json->>'type' IS NOT NULL),
+    m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, block_id) AS copies, count(*) OVER (PARTITION BY doc_id, reading_order) AS order_copies,
+              lag(reading_order) OVER w AS before, lag(content) OVER w AS last FROM b JOIN x USING (doc_id, block_id) WINDOW w AS (PARTITION BY doc_id ORDER BY ord, block_id)),
+    known AS (SELECT doc_id, page_count, max(page) AS last_page, list(DISTINCT page) AS pages FROM m JOIN documents USING (doc_id) GROUP BY ALL),
+    issues AS ("""
+    + " UNION ALL ".join(f"SELECT doc_id, doc_id || ':' || page AS unit, '{code}' AS code, '{level}' AS severity FROM m WHERE {test}" for code, level, test in _RULES)
+    + " UNION ALL SELECT doc_id, doc_id::VARCHAR, 'invalid_page_count', 'high' FROM known WHERE page_count IS NULL OR page_count < 1 OR last_page > page_count)"
+)
 ORACLE = {
+    "verify_integrity": _ISSUES + " SELECT code, severity, count(*) AS issues, count(DISTINCT doc_id) AS documents FROM issues GROUP BY ALL",
+    "verify_rollup": _ISSUES + """, every AS (FROM issues UNION ALL SELECT doc_id, doc_id || ':' || page, 'unit_without_blocks', 'low'
+             FROM (SELECT doc_id, pages, unnest(range(1, page_count + 1)) AS page FROM known WHERE page_count >= 1) WHERE NOT list_contains(pages, page::INT)),
+        units AS (SELECT doc_id, unit, max(evidence) AS evidence FROM (SELECT doc_id, doc_id || ':' || page AS unit, count(bbox) AS evidence FROM m GROUP BY ALL UNION ALL SELECT doc_id, unit, 0 FROM every) GROUP BY ALL),
+        worst AS (SELECT unit, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM every GROUP BY unit),
+        d AS (SELECT doc_id, CASE WHEN high > 0 THEN 4 WHEN medium > 0 THEN 3 WHEN evidence = 0 THEN 2 WHEN low > 0 THEN 1 ELSE 0 END AS rank FROM units LEFT JOIN worst USING (unit))
+        SELECT doc_id, ['verified', 'recovered', 'not_verifiable', 'review', 'failed'][max(rank) + 1] AS status, count(*) AS units, count(*) FILTER (rank = 0) AS verified,
+               count(*) FILTER (rank = 1) AS recovered, count(*) FILTER (rank = 2) AS not_verifiable, count(*) FILTER (rank = 3) AS review, count(*) FILTER (rank = 4) AS failed FROM d GROUP BY doc_id""",
     "verify_content": f"""
         WITH c AS (SELECT DISTINCT chunk_id, doc_id, text FROM chunks WHERE kind = 'section'),
         a AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, {_W.format("text")} AS word FROM documents WHERE doc_id IN (SELECT doc_id FROM c)) GROUP BY ALL),

@@ -6,6 +6,10 @@ empty table yields an empty frame with the file's schema.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +37,36 @@ def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_checkpoint(df: DataFrame, fallback: str = "/tmp/paperloom-checkpoints") -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets its own, a cluster without one is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if spark.sparkContext.applicationId not in _LOCAL:
+        path = tempfile.mkdtemp(prefix="paperloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _LOCAL[spark.sparkContext.applicationId] = path
+    return _LOCAL[spark.sparkContext.applicationId]
+
+
+#: Temporary folders of local sessions (one process, one disk), removed when it ends.
+_LOCAL: dict[str, str] = {}
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
 
-    The folder named in ``spark.checkpoint.dir`` is used when the session has
-    it; only an unset one (tests, local runs) falls back to ``fallback``. The
-    shuffle files behind the checkpoint are no longer needed and are removed.
+    The shuffle files behind the checkpoint are no longer needed and are removed; the
+    checkpoint itself goes when its frame is no longer referenced.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+        context.setCheckpointDir(shared_folder(spark))
+    # Read by Spark's cleaner each time; it removes checkpoints of frames that are gone.
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -51,6 +51,14 @@ def test_rollup_takes_the_worst(spark):
     assert got == {1: "review", 2: "verified", 3: "not_verifiable"}
 
 
+def test_issues_of_no_block_still_decide_their_document(spark):
+    rows = spark.createDataFrame([(1, "b0", 0, "paragraph", "text", 1, [0.1, 0.1, 0.9, 0.2], 0.9, "x", 0, False), (2, "c0", 0, "paragraph", "text", 1, [0.1, 0.1, 0.9, 0.2], 0.9, "x", 0, False)], BOX)
+    docs = spark.createDataFrame([(1, None), (2, 2)], "doc_id long, page_count int")
+    issues = verification.integrity(rows, docs).unionByName(verification.empty_units(rows, docs))
+    got = {(r.doc_id, r.unit): r.status for r in verification.roll_up(rows, issues).collect()}
+    assert got == {(1, "1:1"): "verified", (1, "1"): "failed", (2, "2:1"): "verified", (2, "2:2"): "not_verifiable"}
+
+
 def test_faults_are_named_by_their_rule(spark):
     good = (1, "b0", 0, "paragraph", "text of a block", 1, [0.1, 0.1, 0.9, 0.2], 0.9, "x", 0, False)
     faults = {"duplicate_block_id": {"block_id": "b0"}, "invalid_page_reference": {"page": 0}, "empty_content": {"content": " "}, "control_characters": {"content": "a\x01b"}, "replacement_character": {"content": "a�"},
