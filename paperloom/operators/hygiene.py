@@ -179,14 +179,15 @@ def workspace_overview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def named_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that a question names: two distinctive words of the file name, or its only one."""
-    question = "What does the loan agreement of Kabom Leasing say, and the lease contract?"
+    """Documents that a question names: two distinctive words of the file name, or its only one; every question with an id divisible by 20."""
+    from paperloom.operators.retrieval import question_terms, questions
+
     docs = read_table(spark, folder, "documents", "doc_id", "filename").filter("filename is not null")
     stem = F.regexp_replace(F.regexp_replace("filename", r"\.[A-Za-z0-9]+$", ""), "[_-]", " ")
     words = docs.select("doc_id", F.array_distinct(F.filter(X.tokens(stem), lambda t: ~t.rlike(r"^\d+$|^(?:final|draft|copy|v1|v2)$"))).alias("w"))
-    asked = X.tokens(F.lit(question))
-    hit = F.size(F.array_intersect("w", asked))
-    return words.withColumn("hits", hit).filter((hit >= 2) | ((F.size("w") == 1) & (hit == 1))).select("doc_id", "hits")
+    spread = words.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("term"))
+    met = spread.join(question_terms(questions(spark, folder)), "term").groupBy("question_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits"))
+    return met.filter("hits >= 2 or n = 1").select("question_id", "doc_id", "hits")
 
 
 QUERIES = {
@@ -198,6 +199,9 @@ QUERIES = {
 }
 
 
+from paperloom.operators.retrieval import _ASKED, sql_tokens  # noqa: E402
+
+
 def _case(column: str, rules: tuple) -> str:
     clean = [(r[0], r[-1].replace("(?i)", "").replace("'", "''")) for r in rules]
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}', 'i') THEN '{n}'" for n, p in clean) + " END"
@@ -248,6 +252,11 @@ ORACLE = {
     "audit_documents": """
         WITH a AS (SELECT DISTINCT audit_id, ts, event_name, TRY_CAST(ref_id AS BIGINT) AS doc_id FROM audit)
         SELECT doc_id, arg_max(event_name, (ts, audit_id)) AS last_event, count(*) AS events FROM a SEMI JOIN documents USING (doc_id) GROUP BY doc_id""",
+    "named_documents": f"""
+        WITH w AS (SELECT doc_id, list_distinct(list_filter({sql_tokens("regexp_replace(regexp_replace(filename, '\\.[A-Za-z0-9]+$', ''), '[_-]', ' ', 'g')")},
+                   lambda t: NOT regexp_matches(t, '^\\d+$|^(?:final|draft|copy|v1|v2)$'))) AS w FROM documents WHERE filename IS NOT NULL),
+        q AS (SELECT DISTINCT question_id, unnest({sql_tokens("question")}) AS term FROM {_ASKED})
+        SELECT question_id, doc_id, count(*) AS hits FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) JOIN q USING (term) GROUP BY question_id, doc_id, n HAVING count(*) >= 2 OR n = 1""",
     "workspace_overview": """
         WITH d AS (SELECT workspace_id, count(*) AS documents, count(*) FILTER (status = 'ready') AS ready, sum(page_count)::BIGINT AS pages FROM documents GROUP BY 1)
         SELECT workspace_id, name, coalesce(documents, 0) AS documents, coalesce(ready, 0) AS ready, coalesce(pages, 0) AS pages FROM workspaces LEFT JOIN d USING (workspace_id)""",

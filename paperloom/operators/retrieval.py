@@ -2,7 +2,10 @@
 
 Statistics (number of chunks, document frequency, mean length) cover every normal
 chunk; metadata filters only hide scores afterwards. Quarantined chunks never
-enter. Questions are a stated set held against all rows; ties go to the smaller id.
+enter. The postings are written once per state of the chunks, in buckets of terms:
+a question reads the buckets of its terms, no text. Questions are a stated set (every
+evaluation question whose id is divisible by 20) held against all rows; ties go to
+the smaller id.
 
 Null texts count as empty; copies of a row count once; a question without index
 terms finds nothing.
@@ -18,20 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import STOP_WORDS, index_words, sentences, stem, tokens
-from paperloom.sources.tables import read_table
+from paperloom.sources.tables import exists, fingerprint, read_table, shared_folder
 
 # Depths of the cascade and constants of the scores.
 RETRIEVE, RERANK, FINAL, PROMPT, RRF = 40, 14, 6, 4, 60
 K1, B = 1.5, 0.75
 WINDOW_WORDS = 384
 
-QUESTIONS = (
-    (1, "What is the working capital line and who guaranteed it?"),
-    (2, "Which covenant test was shown for gross profit?"),
-    (3, "When does Term Loan A mature?"),
-    (4, "Insurance of the casting plant and its limits"),
-    (5, "How did the repricing of the vendor loan change inventory?"),
-)
+#: Files of the index, by hash of the term.
+BUCKETS = 32
 
 
 def chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -39,64 +37,78 @@ def chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return rows.filter("trust = 'normal'").drop("trust").distinct()
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(QUESTIONS), "question_id int, question string")
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "rag_eval_nollm", "qa_id", "question").filter("qa_id % 20 = 0 and question is not null").distinct()
+    return rows.select(F.col("qa_id").alias("question_id"), "question")
 
 
-def index_rows(rows: DataFrame) -> DataFrame:
-    """``chunk_id, words``: raw index words of each chunk."""
+def index_terms(rows: DataFrame) -> DataFrame:
+    """``chunk_id, length, term``, one row an occurrence (a null term for a chunk without any): stems are taken after the explode, in compiled code."""
     text = F.concat_ws(" ", F.coalesce("embed_text", F.lit("")), F.coalesce("text", F.lit("")))
-    return rows.select("chunk_id", index_words(text).alias("words"))
+    words = rows.select("chunk_id", index_words(text).alias("words"))
+    words = words.select("chunk_id", F.size("words").alias("length"), F.explode_outer("words").alias("w"))
+    return words.select("chunk_id", "length", stem(F.col("w")).alias("term"))
 
 
-def index_terms(rows: DataFrame) -> DataFrame:
-    """``chunk_id, length, term``, one row an occurrence: stems are taken after the explode, in compiled code."""
-    words = index_rows(rows).select("chunk_id", F.size("words").alias("length"), F.explode_outer("words").alias("w")).filter("w is not null")
-    return words.select("chunk_id", "length", stem(F.col("w")).alias("term"))
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def asked_terms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Index terms that the questions ask for.
+class Index:
+    """Postings (``bucket, term, chunk_id, length, tf``), ``terms`` (``bucket, term, df``) and one row of ``corpus`` (``n, mean_length``) of a table's chunks."""
 
-    A stem keeps the first three characters of its word, so a broadcast semi join
-    on them drops almost all words before any is stemmed.
-    """
-    # The outer explode and the coalesce keep the optimizer from testing words and stems for null where they would be computed twice.
-    words = index_rows(rows).select("chunk_id", F.size("words").alias("length"), F.explode_outer("words").alias("w")).withColumn("p", F.left("w", F.lit(3)))
-    near = wanted.select(F.left("term", F.lit(3)).alias("p")).distinct()
-    few = words.join(F.broadcast(near), "p", "left_semi").select("chunk_id", "length", F.coalesce(stem(F.col("w")), F.lit("")).alias("term"))
-    return few.join(F.broadcast(wanted.select("term").distinct()), "term")
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        place = f"{shared_folder(spark)}/index-{fingerprint(spark, f'{folder}/chunks.parquet')}"
+        self.path = place if "://" in place else f"file://{place}"
+        # The last part is written last: an index that broke off is written anew.
+        if not exists(spark, f"{self.path}/corpus/_SUCCESS"):
+            self._write(chunks(spark, folder, "text", "embed_text"))
 
+    def _write(self, rows: DataFrame) -> None:
+        counted = index_terms(rows).groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        filed = counted.withColumn("bucket", bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term")
+        filed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        frequency = self.postings().filter("term is not null").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        frequency.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
+        sizes = self.postings().groupBy("chunk_id").agg(F.first("length").alias("length"))
+        sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length")).write.mode("overwrite").parquet(f"{self.path}/corpus")
 
-def postings(rows: DataFrame) -> DataFrame:
-    """``chunk_id, length, term, tf``: one scan, partially counted before the shuffle."""
-    return index_terms(rows).groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
 
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
 
-def question_terms(asked: DataFrame) -> DataFrame:
-    return asked.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
+    def corpus(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/corpus")
+
+    def met(self, wanted: DataFrame) -> DataFrame:
+        """``question_id, term, chunk_id, length, tf``; the terms' buckets prune the files where Spark finds the questions small."""
+        return self.postings().join(wanted.withColumn("bucket", bucket(F.col("term"))), ["bucket", "term"]).drop("bucket")
+
+    def frequency(self, wanted: DataFrame) -> DataFrame:
+        """``term, df`` of the terms asked for."""
+        asked = wanted.select("term").distinct().withColumn("bucket", bucket(F.col("term")))
+        return self.terms().join(asked, ["bucket", "term"]).select("term", "df")
 
 
-def corpus(rows: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean length."""
-    return index_rows(rows).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean_length"))
+def question_terms(asked: DataFrame) -> DataFrame:
+    return asked.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
 
 
 def inverse_frequency(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """``question_id, chunk_id, score`` of every chunk with a score over 0.
-
-    The questions' terms are a stated, small set: broadcast, they cut the postings
-    in the scan's own stage before anything is shuffled.
-    """
+def bm25(index: Index, asked: DataFrame) -> DataFrame:
+    """``question_id, chunk_id, score`` of every chunk with a score over 0."""
     wanted = question_terms(asked)
-    met = asked_terms(rows, wanted).groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = met.join(F.broadcast(frequency), "term").join(F.broadcast(wanted), "term").crossJoin(F.broadcast(corpus(rows)))
-    part = inverse_frequency(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    # One row of corpus statistics.
+    weights = index.frequency(wanted).crossJoin(F.broadcast(index.corpus()))
+    weights = weights.select("term", "mean_length", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
+    scored = index.met(wanted).join(weights, "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return scored.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
 
 
@@ -112,6 +124,8 @@ def usable(vector: Column, dims: int = 64) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays; for many rows against many see ``dense_scores``."""
+
     def total(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -124,26 +138,24 @@ def fused(rankings: DataFrame) -> DataFrame:
 
 
 def retrieval_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chunks(spark, folder, "text", "embed_text")
-    return top(bm25(rows, questions(spark)), RETRIEVE).select("question_id", "chunk_id", "score", "rank")
+    return top(bm25(Index(spark, folder), questions(spark, folder)), RETRIEVE).select("question_id", "chunk_id", "score", "rank")
 
 
 def retrieval_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Scores with corpus-wide statistics, then a mask on the kind of chunk."""
-    rows = chunks(spark, folder, "text", "embed_text", "kind")
-    scores = bm25(rows.select("chunk_id", "text", "embed_text"), questions(spark))
-    masked = scores.join(rows.filter("kind = 'table'").select("chunk_id"), "chunk_id", "left_semi")
+    kept = read_table(spark, folder, "chunks", "chunk_id", "trust", "kind").filter("trust = 'normal' and kind = 'table'").select("chunk_id")
+    masked = bm25(Index(spark, folder), questions(spark, folder)).join(kept, "chunk_id", "left_semi")
     return top(masked, FINAL).select("question_id", "chunk_id", "score", "rank")
 
 
 def _hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chunks(spark, folder, "text", "embed_text", "embedding")
-    lexical = top(bm25(rows.select("chunk_id", "text", "embed_text"), questions(spark)), RETRIEVE).select("question_id", "chunk_id", "rank")
-    vectors = rows.filter(usable(F.col("embedding"))).select("chunk_id", "embedding")
+    lexical = top(bm25(Index(spark, folder), questions(spark, folder)), RETRIEVE).select("question_id", "chunk_id", "rank")
+    vectors = chunks(spark, folder, "embedding").filter(usable(F.col("embedding"))).select("chunk_id", F.col("embedding").cast("array<double>").alias("v"))
     # No embedding model here: the best lexical chunk with a vector stands for the question (pseudo-relevance).
-    first = lexical.join(vectors, "chunk_id").groupBy("question_id").agg(F.min_by("embedding", "rank").alias("q"))
-    dense = vectors.crossJoin(F.broadcast(first)).select("question_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    dense = top(dense, RETRIEVE).select("question_id", "chunk_id", "rank")
+    first = lexical.join(vectors, "chunk_id").groupBy("question_id").agg(F.min_by("v", "rank").alias("v"))
+    points = vectors.withColumnRenamed("chunk_id", "id")
+    dense = dense_scores(points, first.withColumnRenamed("question_id", "query_id"), k=RETRIEVE)
+    dense = top(dense, RETRIEVE, "query_id", "id").select(F.col("query_id").alias("question_id"), F.col("id").alias("chunk_id"), "rank")
     return top(fused(lexical.unionByName(dense)), RERANK)
 
 
@@ -153,14 +165,11 @@ def retrieval_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 
 def retrieval_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted share of each question's terms that its best chunks hold; a term of no chunk weighs most."""
-    rows = chunks(spark, folder, "text", "embed_text")
-    asked = questions(spark)
+    index, asked = Index(spark, folder), questions(spark, folder)
     wanted = question_terms(asked)
-    best = top(bm25(rows, asked), PROMPT).select("question_id", "chunk_id")
-    held = asked_terms(rows, wanted).select("chunk_id", "term").distinct()
-    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    have = held.join(F.broadcast(best), "chunk_id").select("question_id", "term").distinct().withColumn("have", F.lit(1))
-    weights = wanted.join(frequency, "term", "left").fillna(0, ["df"]).crossJoin(F.broadcast(corpus(rows)))
+    best = top(bm25(index, asked), PROMPT).select("question_id", "chunk_id")
+    have = index.met(wanted).join(best, ["question_id", "chunk_id"], "left_semi").select("question_id", "term").distinct().withColumn("have", F.lit(1))
+    weights = wanted.join(index.frequency(wanted), "term", "left").fillna(0, ["df"]).crossJoin(F.broadcast(index.corpus()))
     weights = weights.withColumn("idf", inverse_frequency(F.col("n"), F.col("df"))).join(have, ["question_id", "term"], "left")
     got = F.sum(F.when(F.col("have") == 1, F.col("idf")).otherwise(0.0))
     return weights.groupBy("question_id").agg(F.round(got / F.sum("idf"), 6).alias("coverage"))
@@ -168,10 +177,9 @@ def retrieval_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 def retrieval_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Extract: the two sentences of each best chunk that share most words with the question, in their order."""
-    rows = chunks(spark, folder, "text", "embed_text")
-    asked = questions(spark)
-    best = top(bm25(rows, asked), 3).select("question_id", "chunk_id", F.col("rank").alias("source"))
-    text = rows.join(F.broadcast(best), "chunk_id").join(F.broadcast(asked), "question_id")
+    asked = questions(spark, folder)
+    best = top(bm25(Index(spark, folder), asked), 3).select("question_id", "chunk_id", F.col("rank").alias("source"))
+    text = chunks(spark, folder, "text").join(best, "chunk_id").join(asked, "question_id")
     cut = text.select("question_id", "question", "chunk_id", "source", F.posexplode(sentences(F.col("text"))).alias("at", "sentence"))
     q = F.array_distinct(tokens(F.col("question")))
     score = F.round(F.size(F.array_intersect(q, tokens(F.col("sentence")))) / F.size(q), 6)
@@ -190,15 +198,15 @@ def retrieval_windows(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "window", F.size(part).alias("words"), F.md5(F.array_join(part, " ")).alias("digest"))
 
 
-def dense_top(vectors: DataFrame, key: str, vector: str, *, dims: int = 64, k: int = 10, every: int = 20, block: int = 1024) -> DataFrame:
-    """Exact top-k of the query rows (key divisible by ``every``) against all rows, block against block."""
-    rows = vectors.filter(usable(F.col(vector), dims)).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    count = rows.count()
-    number = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // block))))
-    points = rows.withColumn("b", number).groupBy("b").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
-    asked = rows.filter(F.col("id") % every == 0).withColumn("b", number).groupBy("b").agg(F.collect_list("id").alias("qids"), F.flatten(F.collect_list("v")).alias("qs"))
-    # Every query meets every row: a stated query set in blocks of bounded size.
-    met = points.drop("b").crossJoin(asked.drop("b"))
+def dense_scores(points: DataFrame, asked: DataFrame, *, dims: int = 64, k: int = 10, block: int = 1024) -> DataFrame:
+    """``query_id, id, score``: candidates for the exact top-k of ``query_id, v`` against all of ``id, v``, block against block.
+
+    Every query meets every row, a stated query set in blocks of bounded size; of each
+    pair of blocks only k rows a query leave.
+    """
+    number = lambda key, rows: F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows // block))))
+    left = points.withColumn("b", number("id", points.count())).groupBy("b").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+    right = asked.withColumn("b", number("query_id", asked.count())).groupBy("b").agg(F.collect_list("query_id").alias("qids"), F.flatten(F.collect_list("v")).alias("qs"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -208,15 +216,22 @@ def dense_top(vectors: DataFrame, key: str, vector: str, *, dims: int = 64, k: i
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 q /= np.linalg.norm(q, axis=1, keepdims=True)
                 sims = np.round(q @ x.T, 6)
-                sims[qids[:, None] == ids[None, :]] = -2
+                if qids.dtype == ids.dtype:
+                    sims[qids[:, None] == ids[None, :]] = -2
                 order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
                 r = np.repeat(np.arange(len(qids)), order.shape[1])
                 got = pd.DataFrame({"query_id": qids[r], "id": ids[order.ravel()], "score": sims[r, order.ravel()]})
                 yield got[got["score"] > -1.5]
 
-    kind = dict(rows.dtypes)["id"]
-    scores = met.mapInPandas(best, f"query_id {kind}, id {kind}, score double")
-    return top(scores, k, "query_id", "id")
+    met = left.drop("b").crossJoin(right.drop("b"))
+    return met.mapInPandas(best, f"query_id {dict(asked.dtypes)['query_id']}, id {dict(points.dtypes)['id']}, score double")
+
+
+def dense_top(vectors: DataFrame, key: str, vector: str, *, dims: int = 64, k: int = 10, every: int = 20, block: int = 1024) -> DataFrame:
+    """Exact top-k of the query rows (key divisible by ``every``) against all rows."""
+    rows = vectors.filter(usable(F.col(vector), dims)).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = rows.filter(F.col("id") % every == 0).withColumnRenamed("id", "query_id")
+    return top(dense_scores(rows, asked, dims=dims, k=k, block=block), k, "query_id", "id")
 
 
 def retrieval_dense(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,7 +272,7 @@ def sql_tokens(text: str) -> str:
     )
 
 
-_ASKED = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") AS v(question_id, question)"
+_ASKED = "(SELECT DISTINCT qa_id AS question_id, question FROM rag_eval_nollm WHERE qa_id % 20 = 0 AND question IS NOT NULL)"
 _BASE = f"""
     WITH c AS (SELECT DISTINCT chunk_id, text, embed_text, kind FROM chunks WHERE trust = 'normal'),
     i AS (SELECT chunk_id, {sql_tokens("coalesce(embed_text, '') || ' ' || coalesce(text, '')")} AS terms FROM c),

@@ -7,6 +7,7 @@ empty table yields an empty frame with the file's schema.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 
@@ -20,6 +21,24 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _files(spark, path)
+    return bool(system.exists(where))
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Hash of the names, sizes and times of a table's files: a name for what is derived from their present state."""
+    system, where = _files(spark, path)
+    found = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(where))
+    return hashlib.sha256(repr(found).encode()).hexdigest()[:16]
+
+
 def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
     """Drop exact copies of rows (same key, same content).
 
