@@ -2,9 +2,10 @@
 
 A plan is {"title", "steps": [...], "output": id}. Steps refer to tables by alias
 and to earlier steps by id. Nothing is evaluated from text. Each step becomes a
-frame of one row (value, scale, unit, currency, kind, operands, warnings, error);
-a step that cannot be computed carries an error instead of a value, and what
-depends on it carries it on.
+frame of one row a key (value, scale, unit, currency, kind, operands, warnings,
+error); a step that cannot be computed carries an error instead of a value, and what
+depends on it carries it on. With a key column one plan runs over any number of
+tables at once, as group-bys and joins on the key; without one there is one key.
 
 Rules kept: totals are left out of aggregates unless rows are named; an empty sum
 or count is 0, an empty average, minimum or maximum an error; amounts of different
@@ -32,6 +33,11 @@ VALUE = (
 )
 
 
+FIELDS = tuple(field.split()[0] for field in VALUE.split(", "))
+#: Name of the key column inside a compiled plan.
+KEY = "_key"
+
+
 class PlanError(ValueError):
     """The plan itself is not valid."""
 
@@ -84,20 +90,20 @@ def label_score(wanted: Column, label: Column) -> Column:
 
 
 def _column(cells: DataFrame, wanted: str) -> DataFrame:
-    """Cells of the best column; the first of equals."""
+    """Cells of each key's best column; the first of equals."""
     from paperloom.functions.finance import period
 
     score = F.greatest(label_score(F.lit(wanted), F.col("col_path")), F.when(period(F.lit(wanted)) == F.col("period"), 0.98).otherwise(0.0))
-    best = cells.select("col_idx", score.alias("s")).filter(F.col("s") >= COL_FROM).agg(F.min_by("col_idx", F.struct(-F.col("s"), F.col("col_idx"))).alias("best_col"))
-    return cells.crossJoin(F.broadcast(best)).filter("col_idx = best_col")
+    scored = cells.select(KEY, "col_idx", "col_path", "period").distinct().withColumn("s", score).filter(F.col("s") >= COL_FROM)
+    best = scored.groupBy(KEY).agg(F.min_by("col_idx", F.struct(-F.col("s"), F.col("col_idx"))).alias("col_idx"))
+    return cells.join(best, [KEY, "col_idx"])
 
 
 def _row(cells: DataFrame, wanted: str) -> DataFrame:
-    """Cells of the best row, with ``tied`` set where several rows fit equally well but not exactly."""
-    rows = cells.select("row_idx", label_score(F.lit(wanted), F.col("label")).alias("s")).distinct().filter(F.col("s") >= ROW_FROM)
-    best = rows.agg(F.min_by("row_idx", F.struct(-F.col("s"), F.col("row_idx"))).alias("best_row"), F.max("s").alias("top"), F.collect_list("s").alias("ss"))
-    tied = (F.size(F.filter("ss", lambda s: s == F.col("top"))) > 1) & (F.col("top") < 1)
-    return cells.crossJoin(F.broadcast(best.select("best_row", tied.alias("tied")))).filter("row_idx = best_row")
+    """Cells of each key's best row, with ``tied`` set where several rows fit equally well but not exactly."""
+    rows = cells.select(KEY, "row_idx", "label").distinct().withColumn("s", label_score(F.lit(wanted), F.col("label"))).filter(F.col("s") >= ROW_FROM)
+    best = rows.groupBy(KEY, "s").agg(F.min("row_idx").alias("row_idx"), F.count(F.lit(1)).alias("n")).groupBy(KEY).agg(F.max_by(F.struct("row_idx", "n", "s"), "s").alias("b"))
+    return cells.join(best.select(KEY, "b.row_idx", ((F.col("b.n") > 1) & (F.col("b.s") < 1)).alias("tied")), [KEY, "row_idx"])
 
 
 def _kind() -> Column:
@@ -110,36 +116,32 @@ def _operand() -> Column:
     return F.struct("label", "col_path", "raw")
 
 
-def _failed(spark: SparkSession, message: str) -> DataFrame:
-    return spark.createDataFrame([(None, None, None, None, None, [], [], message)], VALUE)
-
+def _nothing(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
-def _one(rows: DataFrame, message: str) -> DataFrame:
-    """One row, an error row where there is none."""
-    empty = _failed(rows.sparkSession, message)
-    both = rows.withColumn("_o", F.lit(0)).unionByName(empty.withColumn("_o", F.lit(1)))
-    return both.orderBy("_o").limit(1).drop("_o")
 
-
-def _lookup(cells: DataFrame, step: dict) -> DataFrame:
+def _lookup(cells: DataFrame, step: dict, keys: DataFrame) -> DataFrame:
     hit = _row(_column(cells, step["col"]), step["row"])
     error = F.when(F.col("tied"), F.lit(f"'{step['row']}' matches several rows")).when(F.col("v").isNull(), F.lit("the cell holds no number"))
     value = hit.select(
-        F.when(error.isNull(), F.col("v")).alias("value"), F.coalesce("scale", F.lit(1.0)).alias("scale"), "unit", "currency", _kind().alias("kind"),
-        F.array(_operand()).alias("operands"), F.array().cast("array<string>").alias("warnings"), error.alias("error"),
-    )
-    return _one(value, f"no cell for '{step['row']}' and '{step['col']}'")
+        KEY, F.when(error.isNull(), F.col("v")).alias("value"), F.coalesce("scale", F.lit(1.0)).alias("scale"), "unit", "currency", _kind().alias("kind"),
+        F.array(_operand()).alias("operands"), F.array().cast("array<string>").alias("warnings"), error.alias("error"), F.lit(True).alias("hit"),
+    ).dropDuplicates([KEY])
+    missing = F.when(F.col("hit").isNull(), F.lit(f"no cell for '{step['row']}' and '{step['col']}'"))
+    empty = {c: F.coalesce(c, F.array().cast(dict(value.dtypes)[c])).alias(c) for c in ("operands", "warnings")}
+    rows = keys.join(value, KEY, "left").withColumn("error", F.coalesce("error", missing))
+    return rows.select(*(empty.get(c, c) for c in (KEY, *FIELDS)))
 
 
-def _aggregate(cells: DataFrame, step: dict) -> DataFrame:
+def _aggregate(cells: DataFrame, step: dict, keys: DataFrame) -> DataFrame:
     fn = step.get("fn", "count")
     part = _column(cells, step["col"])
     if step.get("rows"):
-        part = reduce(DataFrame.unionByName, [_row(part, r).drop("tied", "best_row") for r in step["rows"]])
+        part = reduce(DataFrame.unionByName, [_row(part, r).drop("tied") for r in step["rows"]])
     else:
         part = part.filter(~F.coalesce("is_total", F.lit(False)))
     if where := step.get("where"):
-        told = _column(cells, where["col"]).select("row_idx", F.coalesce("raw", F.lit("")).alias("_w"))
+        told = _column(cells, where["col"]).select(KEY, "row_idx", F.coalesce("raw", F.lit("")).alias("_w"))
         if "eq" in where:
             want = str(where["eq"])
             test = F.lower(F.trim("_w")) == want.lower().strip()
@@ -147,35 +149,37 @@ def _aggregate(cells: DataFrame, step: dict) -> DataFrame:
                 test = test | F.col("_w").rlike(rf"\b{want}\b")
         else:
             test = F.lower("_w").contains(str(where["contains"]).lower())
-        part = part.join(told.filter(test).select("row_idx").distinct(), "row_idx", "left_semi")
-    numbers = part.filter("v is not null")
+        part = part.join(told.filter(test).select(KEY, "row_idx").distinct(), [KEY, "row_idx"], "left_semi")
     base = F.col("v") * F.coalesce("scale", F.lit(1.0))
-    lead = F.min_by(F.coalesce("scale", F.lit(1.0)), F.struct("row_idx", "col_idx"))
-    measure = {"sum": F.coalesce(F.sum(base), F.lit(0.0)), "average": F.avg(base), "min": F.min(base), "max": F.max(base), "count": F.count(F.lit(1)).cast("double")}[fn]
-    made = (part if fn == "count" else numbers).agg(
+    if fn != "count":
+        part = part.filter("v is not null")
+    # A key without rows has one row of nulls: its sum and count are 0.
+    part = keys.join(part, KEY, "left")
+    there = F.col("row_idx").isNotNull()
+    lead = F.min_by(F.coalesce("scale", F.lit(1.0)), F.when(there, F.struct("row_idx", "col_idx")))
+    measure = {"sum": F.coalesce(F.sum(base), F.lit(0.0)), "average": F.avg(base), "min": F.min(base), "max": F.max(base), "count": F.count("row_idx").cast("double")}[fn]
+    made = part.groupBy(KEY).agg(
         measure.alias("m"), F.coalesce(lead, F.lit(1.0)).alias("scale"), F.first("unit", True).alias("unit"), F.first("currency", True).alias("currency"),
-        F.array_sort(F.collect_set("currency")).alias("codes"), F.array_sort(F.collect_set(_kind())).alias("kinds"),
-        F.array_sort(F.collect_list(F.struct("row_idx", _operand().alias("o"))))["o"].alias("operands"),
+        F.array_sort(F.collect_set("currency")).alias("codes"), F.array_sort(F.collect_set(F.when(there, _kind()))).alias("kinds"),
+        F.array_sort(F.collect_list(F.when(there, F.struct("row_idx", _operand().alias("o")))))["o"].alias("operands"),
     )
+    none = F.array().cast("array<string>").alias("warnings")
     if fn == "count":
-        return made.select("m", "operands").select(
-            F.col("m").alias("value"), F.lit(1.0).alias("scale"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("currency"),
-            F.lit("count").alias("kind"), "operands", F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("error"),
+        return made.select(
+            KEY, F.col("m").alias("value"), F.lit(1.0).alias("scale"), _nothing("string").alias("unit"), _nothing("string").alias("currency"), F.lit("count").alias("kind"),
+            "operands", none, _nothing("string").alias("error"),
         )
     mixed = F.when(F.size("codes") > 1, "different currencies").when(F.size(F.array_except("kinds", F.array(F.lit("number")))) > 1, "different kinds of value")
     mixed = F.coalesce(mixed, F.when(F.col("m").isNull(), "no values to combine"))
     kind = F.coalesce(F.get(F.array_except("kinds", F.array(F.lit("number"))), F.lit(0)), F.lit("number"))
-    return made.select(
-        F.when(mixed.isNull(), F.col("m") / F.col("scale")).alias("value"), "scale", "unit", "currency", kind.alias("kind"), "operands",
-        F.array().cast("array<string>").alias("warnings"), mixed.alias("error"),
-    )
+    return made.select(KEY, F.when(mixed.isNull(), F.col("m") / F.col("scale")).alias("value"), "scale", "unit", "currency", kind.alias("kind"), "operands", none, mixed.alias("error"))
 
 
 def _combine(steps: list[DataFrame], fn: str) -> DataFrame:
     rows = reduce(DataFrame.unionByName, [s.withColumn("n", F.lit(k)) for k, s in enumerate(steps)])
     base = F.col("value") * F.when(F.col("kind") == "amount", F.col("scale")).otherwise(1.0)
     measure = {"sum": F.sum(base), "average": F.avg(base), "min": F.min(base), "max": F.max(base), "count": F.count("value").cast("double")}[fn]
-    made = rows.agg(
+    made = rows.groupBy(KEY).agg(
         measure.alias("m"), F.min_by("scale", "n").alias("scale"), F.min_by("unit", "n").alias("unit"), F.min_by("currency", "n").alias("currency"),
         F.collect_set("currency").alias("codes"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.flatten(F.collect_list("operands")).alias("operands"),
         F.array_distinct(F.flatten(F.collect_list("warnings"))).alias("warnings"), F.min("error").alias("failed"),
@@ -184,13 +188,13 @@ def _combine(steps: list[DataFrame], fn: str) -> DataFrame:
     error = F.coalesce("failed", F.when(F.size("codes") > 1, "different currencies").when(F.size(other) > 1, "different kinds of value"))
     kind = F.lit("count") if fn == "count" else F.coalesce(F.get(other, F.lit(0)), F.lit("number"))
     scale = F.when(kind == "amount", F.col("scale")).otherwise(1.0)
-    return made.select(F.when(error.isNull(), F.col("m") / scale).alias("value"), scale.alias("scale"), "unit", "currency", kind.alias("kind"), "operands", "warnings", error.alias("error"))
+    return made.select(KEY, F.when(error.isNull(), F.col("m") / scale).alias("value"), scale.alias("scale"), "unit", "currency", kind.alias("kind"), "operands", "warnings", error.alias("error"))
 
 
 def _pair(first: DataFrame, second: DataFrame, op: str, years: float | None = None) -> DataFrame:
-    a = first.select(*(F.col(c).alias(f"a_{c}") for c in first.columns))
-    b = second.select(*(F.col(c).alias(f"b_{c}") for c in second.columns))
-    rows = a.crossJoin(b)  # one row each
+    a = first.select(KEY, *(F.col(c).alias(f"a_{c}") for c in FIELDS))
+    b = second.select(KEY, *(F.col(c).alias(f"b_{c}") for c in FIELDS))
+    rows = a.join(b, KEY)
 
     def base(s: str) -> Column:
         return F.col(f"{s}_value") * F.when(F.col(f"{s}_kind") == "amount", F.col(f"{s}_scale")).otherwise(1.0)
@@ -216,23 +220,32 @@ def _pair(first: DataFrame, second: DataFrame, op: str, years: float | None = No
         value = F.when(ok, (F.pow(y / F.nullif(x, F.lit(0.0)), F.lit(1.0 / (years or 1.0))) - 1) * 100)
         kind, unit, code, scale = F.lit("pct"), nothing, nothing, F.lit(1.0)
     return rows.select(
-        F.when(error.isNull(), value).alias("value"), scale.cast("double").alias("scale"), unit.alias("unit"), code.alias("currency"), kind.alias("kind"),
+        KEY, F.when(error.isNull(), value).alias("value"), scale.cast("double").alias("scale"), unit.alias("unit"), code.alias("currency"), kind.alias("kind"),
         F.concat("a_operands", "b_operands").alias("operands"), F.array_distinct(F.concat("a_warnings", "b_warnings")).alias("warnings"), error.alias("error"),
     )
 
 
-def compile_plan(plan: dict, tables: dict[str, DataFrame]) -> DataFrame:
-    """Frame of one row with the plan's result and receipt; ``tables`` maps aliases to frames of cells."""
+def compile_plan(plan: dict, tables: dict[str, DataFrame], key: str | None = None) -> DataFrame:
+    """The plan's result and receipt; ``tables`` maps aliases to frames of cells.
+
+    One row without ``key``; with it one row for every value of that column in any of
+    the tables, each computed from the cells of its value alone.
+    """
     validate(plan)
+    keyed = {alias: t.withColumn(KEY, F.col(key) if key else F.lit(0)) for alias, t in tables.items()}
+    if key:
+        keys = reduce(DataFrame.unionByName, [t.select(KEY) for t in keyed.values()]).distinct()
+    else:
+        keys = next(iter(tables.values())).sparkSession.createDataFrame([(0,)], f"{KEY} int")
     made: dict[str, DataFrame] = {}
     for step in plan["steps"]:
         op = step["op"]
         if op in ("lookup", "aggregate", "filter") and step["table"] not in tables:
             raise PlanError(f"unknown table {step['table']!r}")
         if op == "lookup":
-            out = _lookup(tables[step["table"]], step)
+            out = _lookup(keyed[step["table"]], step, keys)
         elif op in ("aggregate", "filter"):
-            out = _aggregate(tables[step["table"]], step)
+            out = _aggregate(keyed[step["table"]], step, keys)
         elif op in AGGREGATES:
             out = _combine([made[a] for a in step["args"]], op)
         elif op in ("difference", "ratio"):
@@ -242,7 +255,8 @@ def compile_plan(plan: dict, tables: dict[str, DataFrame]) -> DataFrame:
         else:
             out = _pair(made[step["start"]], made[step["end"]], op, step.get("years"))
         made[step["id"]] = out
-    return made[plan.get("output", plan["steps"][-1]["id"])]
+    out = made[plan.get("output", plan["steps"][-1]["id"])]
+    return out.withColumnRenamed(KEY, key) if key else out.drop(KEY)
 
 
 def display(value: Column, kind: Column, currency: Column, unit: Column) -> Column:
@@ -297,30 +311,69 @@ def plan_label_match(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.select("table_id", "row_idx", "score", F.coalesce((F.col("next") == F.col("score")) & (F.col("score") < 1), F.lit(False)).alias("tied"))
 
 
+def _asked(label: str, col: str) -> dict:
+    return {"op": "lookup", "table": "T", "row": label, "col": col}
+
+
 def plan_question(spark: SparkSession, folder: str) -> DataFrame:
-    """A compiled plan over the first table that has a row named Revenue: its change between the outer columns."""
+    """A compiled plan over every table: change of its Revenue from FY2021 to FY2022, or why there is none."""
+    plan = {"steps": [{"id": "a", **_asked("Revenue", "FY2021")}, {"id": "b", **_asked("Revenue", "FY2022")}, {"id": "c", "op": "percent_change", "old": "a", "new": "b"}]}
+    out = compile_plan(plan, {"T": _cells(spark, folder)}, "table_id")
+    shown = display(F.col("value"), F.col("kind"), F.col("currency"), F.col("unit"))
+    return out.select("table_id", F.round("value", 4).alias("value"), "kind", "error", F.when(F.col("value").isNotNull(), shown).alias("shown"))
+
+
+def plan_aggregates(spark: SparkSession, folder: str) -> DataFrame:
+    """A compiled plan over every table: aggregates of its FY2021 column and what they make of one another."""
     rows = _cells(spark, folder)
-    first = rows.filter("label = 'Revenue' and v is not null").agg(F.min("table_id")).head()[0]
-    part = rows.filter(F.col("table_id") == first)
-    heads = [r[0] for r in part.select("col_path", "col_idx").distinct().orderBy("col_idx").select("col_path").collect()] or ["FY2020"]
-    plan = {
-        "title": "change of revenue",
-        "steps": [
-            {"id": "s1", "op": "lookup", "table": "T1", "row": "Revenue", "col": heads[-1]},
-            {"id": "s2", "op": "lookup", "table": "T1", "row": "Revenue", "col": heads[0]},
-            {"id": "s3", "op": "percent_change", "old": "s1", "new": "s2"},
-        ],
-    }
-    out = compile_plan(plan, {"T1": part})
-    return out.select(F.lit(first).alias("table_id"), F.round("value", 4).alias("value"), "kind", "error", display(F.col("value"), F.col("kind"), F.col("currency"), F.col("unit")).alias("shown"))
-
-
-QUERIES = {f.__name__: f for f in (plan_aggregate_all, plan_change_all, plan_label_match, plan_question)}
+    steps = [{"id": fn, "op": "aggregate", "table": "T", "col": "FY2021", "fn": fn} for fn in AGGREGATES]
+    steps += [{"id": "spread", "op": "difference", "a": "max", "b": "min"}, {"id": "ratio", "op": "ratio", "a": "spread", "b": "average"}, {"id": "both", "op": "sum", "args": ["max", "min"]}]
+    parts = [compile_plan({"steps": steps, "output": s["id"]}, {"T": rows}, "table_id").select("table_id", F.round("value", 4).alias(f"{s['id']}_value"), F.col("error").alias(f"{s['id']}_error")) for s in steps]
+    return reduce(lambda a, b: a.join(b, "table_id"), parts)
+
+
+QUERIES = {f.__name__: f for f in (plan_aggregate_all, plan_change_all, plan_label_match, plan_question, plan_aggregates)}
 
 from paperloom.operators.grids import _CELLS  # noqa: E402
 
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in LABEL_STOPS) + ")))"
+_FIT = "CASE WHEN len(y) = 0 THEN 0 WHEN b = x THEN 1 WHEN list_contains(y, x[1]) AND len(y) = 1 THEN 0.97 WHEN list_contains(y, x[1]) THEN 0.9 ELSE 0 END"
+_KIND = "CASE WHEN coalesce(contains(raw, '%'), false) THEN 'pct' WHEN currency IS NOT NULL OR scale > 1 THEN 'amount' ELSE 'number' END"
+
+
+def _picked(name: str, year: str) -> str:
+    """Cells of each table's best column for a year, for a wanted label of one word."""
+    return f""", {name}_s AS (SELECT DISTINCT table_id, col_idx, greatest({_FIT}, CASE WHEN coalesce(nullif(regexp_extract(col_path, '(?i)\\bFY\\s*(\\d{{4}})\\b', 1), ''),
+            regexp_extract(col_path, '\\b(20[0-4]\\d)\\b', 1)) = '{year}' THEN 0.98 ELSE 0 END) AS s
+            FROM (SELECT table_id, col_idx, col_path, ['fy{year}'] AS x, regexp_extract_all(lower(col_path), '[a-z0-9]+') AS b, {_WORDS.format("col_path")} AS y FROM cells)),
+        {name} AS (SELECT cells.* FROM cells JOIN (SELECT table_id, arg_min(col_idx, (-s, col_idx)) AS col_idx FROM {name}_s WHERE s >= 0.6 GROUP BY 1) USING (table_id, col_idx))"""
+
+
+def _looked(name: str, year: str) -> str:
+    """Result of looking up Revenue in those cells."""
+    return _picked(name, year) + f""", {name}_r AS (SELECT *, {_FIT} AS s FROM (SELECT *, ['revenue'] AS x, regexp_extract_all(lower(label), '[a-z0-9]+') AS b, {_WORDS.format("label")} AS y FROM {name})),
+        {name}_o AS (SELECT *, count(*) OVER (PARTITION BY table_id, s) AS n FROM {name}_r WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY s DESC, row_idx) = 1),
+        {name}_v AS (SELECT table_id, CASE WHEN row_idx IS NULL THEN 'no cell for ''Revenue'' and ''FY{year}''' WHEN n > 1 AND s < 1 THEN '''Revenue'' matches several rows' WHEN v IS NULL THEN 'the cell holds no number' END AS error,
+            CASE WHEN row_idx IS NOT NULL THEN {_KIND} END AS kind, CASE WHEN NOT (n > 1 AND s < 1) THEN v * CASE WHEN {_KIND} = 'amount' THEN coalesce(scale, 1) ELSE 1 END END AS x FROM (SELECT DISTINCT table_id FROM cells) LEFT JOIN {name}_o USING (table_id))"""
+
+
 ORACLE = {
+    "plan_question": _CELLS + _looked("a", "2021") + _looked("b", "2022") + """, e AS (SELECT table_id, a.x AS old, b.x AS new, coalesce(a.error, b.error,
+            CASE WHEN a.kind <> b.kind AND a.kind <> 'number' AND b.kind <> 'number' THEN 'different kinds of value' END, CASE WHEN a.x = 0 THEN 'the old value is zero' END) AS error FROM a_v a JOIN b_v b USING (table_id)),
+        r AS (SELECT table_id, CASE WHEN error IS NULL THEN (new - old) / abs(old) * 100 END AS value, error FROM e)
+        SELECT table_id, round(value, 4) AS value, 'pct' AS kind, error, format('{:,.2f}', value) || '%' AS shown FROM r""",
+    "plan_aggregates": _CELLS + _picked("p", "2021") + f""", every AS (SELECT *, v * coalesce(scale, 1) AS x, {_KIND} AS kind FROM p WHERE NOT coalesce(is_total, false)),
+        grouped AS (SELECT table_id, count(*) AS "count", coalesce(arg_min(coalesce(scale, 1), (row_idx, col_idx)) FILTER (v IS NOT NULL), 1) AS scale, coalesce(sum(x), 0) AS "sum", avg(x) AS average, min(x) AS "min", max(x) AS "max",
+              count(DISTINCT kind) FILTER (kind <> 'number' AND v IS NOT NULL) AS kinds, coalesce(bool_or(kind = 'amount') FILTER (v IS NOT NULL AND kind <> 'number'), false) AS amount FROM every GROUP BY 1),
+        judged AS (SELECT table_id, coalesce("count", 0)::DOUBLE AS "count", coalesce(scale, 1) AS scale, coalesce("sum", 0) AS "sum", average, "min", "max", coalesce(amount, false) AS amount,
+              CASE WHEN kinds > 1 THEN 'different kinds of value' END AS mixed, CASE WHEN kinds > 1 THEN 'different kinds of value' WHEN average IS NULL THEN 'no values to combine' END AS none
+              FROM (SELECT DISTINCT table_id FROM cells) LEFT JOIN grouped USING (table_id)),
+        scaled AS (SELECT *, CASE WHEN amount THEN scale ELSE 1 END AS unit, "max" / scale AS hi, "min" / scale AS lo, average / scale AS mid FROM judged)
+        SELECT table_id, CASE WHEN mixed IS NULL THEN round("sum" / scale, 4) END AS sum_value, mixed AS sum_error, CASE WHEN none IS NULL THEN round(mid, 4) END AS average_value, none AS average_error,
+               CASE WHEN none IS NULL THEN round(lo, 4) END AS min_value, none AS min_error, CASE WHEN none IS NULL THEN round(hi, 4) END AS max_value, none AS max_error, "count" AS count_value, NULL::VARCHAR AS count_error,
+               CASE WHEN none IS NULL THEN round((hi * unit - lo * unit) / unit, 4) END AS spread_value, none AS spread_error,
+               CASE WHEN none IS NULL AND mid <> 0 THEN round((hi - lo) / mid, 4) END AS ratio_value, coalesce(none, CASE WHEN mid = 0 THEN 'division by zero' END) AS ratio_error,
+               CASE WHEN none IS NULL THEN round((hi * unit + lo * unit) / unit, 4) END AS both_value, none AS both_error FROM scaled""",
     "plan_aggregate_all": _CELLS + """, b AS (SELECT table_id, col_idx::INT AS col_idx, v * coalesce(scale, 1) AS x FROM cells WHERE NOT coalesce(is_total, false))
         SELECT table_id, col_idx, coalesce(sum(x::DECIMAL(30,4))::DOUBLE, 0) AS "sum", min(x) AS "min", max(x) AS "max", count(*) AS "count",
                CASE WHEN count(x) > 0 THEN round(coalesce(sum(x::DECIMAL(30,4))::DOUBLE, 0) / count(x), 4) END AS average FROM b GROUP BY ALL""",
