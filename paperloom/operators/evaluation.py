@@ -119,7 +119,8 @@ def eval_failures(spark: SparkSession, folder: str) -> DataFrame:
 def eval_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Order-free fingerprint of the documents: a hash over the sum and the xor of row hashes, no global sort."""
     rows = read_table(spark, folder, "documents", "doc_id", "sha256")
-    h = F.xxhash64("doc_id", F.lower("sha256"))
+    row = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lower("sha256")))
+    h = F.conv(F.left(row, F.lit(15)), 16, 10).cast("bigint")
     both = rows.agg(F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
     return both.select(F.left(F.sha2(F.concat_ws("|", "x", "s", "n"), 256), F.lit(16)).alias("fingerprint"), F.col("n").alias("documents"))
 
@@ -136,6 +137,9 @@ _SIDES = """
     a AS (SELECT qa_id, qtype, asked_at, 'baseline' AS pipeline, baseline.judge.pass AS passed, baseline.judge.cited_ok AS cited, baseline.judge.retrieved_ok AS retrieved, baseline.ms AS ms, baseline.text AS t FROM r
           UNION ALL SELECT qa_id, qtype, asked_at, 'deallens', deallens.judge.pass, deallens.judge.cited_ok, deallens.judge.retrieved_ok, deallens.ms, deallens.text FROM r)"""
 ORACLE = {
+    "eval_fingerprint": """
+        WITH h AS (SELECT ('0x' || left(md5(concat_ws('|', doc_id, lower(sha256))), 15))::BIGINT AS h FROM documents)
+        SELECT left(sha256(concat_ws('|', bit_xor(h), sum(h)::VARCHAR, count(*))), 16) AS fingerprint, count(*) AS documents FROM h""",
     "eval_summary": _SIDES + """ SELECT pipeline, count(*) AS n, round(avg(passed::INT), 3) AS accuracy, round(avg(passed::INT) FILTER (qtype = 'numeric'), 3) AS numeric,
         round(avg(cited::INT), 3) AS citations, round(avg(retrieved::INT), 3) AS retrieval, round(avg(passed::INT) FILTER (qtype = 'unanswerable'), 3) AS abstention,
         round(avg(passed::INT) FILTER (qtype = 'injection'), 3) AS injection, round(avg(ms) / 1000, 2) AS seconds FROM a GROUP BY pipeline""",

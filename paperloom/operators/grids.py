@@ -16,6 +16,14 @@ GRID = (
     "header_rows int, col_paths array<string>, n_cols int, "
     "rows array<struct<ridx:int,label:string,is_total:boolean,cells:array<struct<raw:string,v:double>>>>"
 )
+#: Two small tables that stand beside those of the store in checks that nothing there triggers: a debt schedule and a total that is wrong.
+LITERAL_TABLES = (
+    ("literal-debt", "Debt schedule", 1.0, '{"col_paths": ["Facility", "Amount outstanding", "Maturity"], "rows": [{"label": "Facility A", "is_total": false, "cells": [{"raw": "Facility A"}, {"raw": "50.0", "v": 50.0},'
+     ' {"raw": "June 2026"}]}, {"label": "Overdraft", "is_total": false, "cells": [{"raw": "Overdraft"}, {"raw": "32.0", "v": 32.0}, {"raw": "2026"}]}, {"label": "Facility B", "is_total": false, "cells": [{"raw": "Facility B"},'
+     ' {"raw": "120.5", "v": 120.5}, {"raw": "2028"}]}, {"label": "Total", "is_total": true, "cells": [{"raw": "Total"}, {"raw": "202.5", "v": 202.5}, {"raw": null}]}]}'),
+    ("literal-wrong", "Costs", 1.0, '{"col_paths": ["Item", "Amount"], "rows": [{"label": "Rent", "is_total": false, "cells": [{"raw": "Rent"}, {"raw": "10", "v": 10.0}]}, {"label": "Power", "is_total": false, "cells": [{"raw": "Power"},'
+     ' {"raw": "20", "v": 20.0}]}, {"label": "Pay", "is_total": false, "cells": [{"raw": null}, {"raw": null, "v": 30.0}]}, {"label": "Grand total", "is_total": true, "cells": [{"raw": "Grand total"}, {"raw": "65", "v": 65.0}]}]}'),
+)
 TOTAL = r"(?i)^\s*(?:grand\s+)?total\b"
 RELATIVE = 0.005
 
@@ -36,6 +44,11 @@ def cells(rows: DataFrame) -> DataFrame:
     )
 
 
+def tables_and_literals(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.createDataFrame(list(LITERAL_TABLES), "table_id string, title string, scale double, grid_json string")
+    return tables(spark, folder).unionByName(rows, allowMissingColumns=True)
+
+
 def table_cells(spark: SparkSession, folder: str) -> DataFrame:
     rows = cells(tables(spark, folder))
     return rows.groupBy("table_id").agg(
@@ -85,7 +98,7 @@ def total_checks(rows: DataFrame) -> DataFrame:
 
 
 def diligence_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return total_checks(cells(tables(spark, folder))).select("table_id", "col_idx", "block", "parts", "stated", "difference", "holds")
+    return total_checks(cells(tables_and_literals(spark, folder))).select("table_id", "col_idx", "block", "parts", "stated", "difference", "holds")
 
 
 def facts(rows: DataFrame) -> DataFrame:
@@ -165,7 +178,7 @@ def maturity_wall(rows: DataFrame) -> DataFrame:
 
 
 def diligence_maturity(spark: SparkSession, folder: str) -> DataFrame:
-    return maturity_wall(cells(tables(spark, folder)))
+    return maturity_wall(cells(tables_and_literals(spark, folder)))
 
 
 def diligence_timeline(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,6 +249,21 @@ _CELLS = """
     l AS (SELECT * EXCLUDE (g), g.col_paths AS paths, unnest(g.rows) AS r, generate_subscripts(g.rows, 1) - 1 AS row_idx FROM g),
     k AS (SELECT * EXCLUDE (r), r.label AS label, r.is_total AS is_total, unnest(r.cells) AS c, generate_subscripts(r.cells, 1) - 1 AS col_idx FROM l),
     cells AS (SELECT * EXCLUDE (c, paths), c.raw AS raw, c.v AS v, paths[col_idx + 1] AS col_path FROM k WHERE col_idx > 0)"""
+_MORE_CELLS = _CELLS.replace(
+    "(SELECT DISTINCT * FROM tables_store)",
+    "(SELECT DISTINCT * FROM tables_store UNION ALL BY NAME SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c}, '{d}')" for a, b, c, d in LITERAL_TABLES) + ") AS v(table_id, title, scale, grid_json))",
+)
+
+
+def sql_number(raw: str) -> str:
+    core = f"regexp_replace(regexp_replace(trim({raw}), '^\\((.*)\\)$', '-\\1'), '[₹$€£¥%\\s]|(?i:\\b(?:rs\\.?|inr|usd|eur|gbp|jpy)\\b)', '', 'g')"
+    value = (
+        f"CASE WHEN regexp_matches({core}, '^[-+]?\\d+(\\.\\d+)?$') THEN {core} WHEN regexp_matches({core}, '^[-+]?\\d{{1,3}}(,\\d{{2,3}})+(\\.\\d+)?$') THEN replace({core}, ',', '') "
+        f"WHEN regexp_matches({core}, '^[-+]?\\d{{1,3}}(\\.\\d{{3}})*,\\d{{1,2}}$') THEN replace(replace({core}, '.', ''), ',', '.') END"
+    )
+    return f"round(TRY_CAST({value} AS DOUBLE) / CASE WHEN regexp_matches(trim({raw}), '%\\s*\\)?$') THEN 100 ELSE 1 END, 10)"
+
+
 _CONCEPT = "CASE " + " ".join(f"WHEN regexp_matches(label, '{p.replace('(?i)', '')}', 'i') THEN '{c}'" for c, p in M.CONCEPTS) + " END"
 _FACTS = _CELLS + f""",
     p AS (SELECT *, {_CONCEPT} AS concept, CASE
@@ -253,7 +281,16 @@ ORACLE = {
     "table_summary": _CELLS + """ SELECT table_id, concat_ws(' ', 'Table: ' || coalesce(title, 'untitled') || '.', 'Columns: ' || array_to_string(g.col_paths, ', ') || '.',
         'Rows: ' || array_to_string(list_slice(list_filter(list_transform(g.rows, lambda r: r.label), lambda x: x IS NOT NULL), 1, 12), ', ') || '.',
         'Unit: ' || concat_ws(' ', currency, unit) || '.') AS summary FROM g""",
-    "diligence_totals": _CELLS + f""",
+    "table_numbers": _CELLS + f""", p AS (SELECT table_id, v, {sql_number("raw")} AS parsed FROM cells)
+        SELECT table_id, count(*) AS parsed_cells, count(*) FILTER (abs(parsed - v) > 1e-9) AS differing FROM p WHERE v IS NOT NULL AND parsed IS NOT NULL GROUP BY table_id""",
+    "diligence_pack": _FACTS + " SELECT doc_id, " + ", ".join(
+        f"arg_max(value, (substr(period, 3)::INT, -row_idx, -col_idx, table_id)) FILTER (concept = '{c}') AS {c}" for c, _ in M.CONCEPTS
+    ) + " FROM facts GROUP BY doc_id",
+    "diligence_maturity": _MORE_CELLS + """, due AS (SELECT table_id, row_idx, arg_min(regexp_extract(raw, '(20\\d{2})', 1), col_idx) AS "year" FROM cells WHERE regexp_matches(col_path, '(?i)matur|due|expir|repay') GROUP BY ALL),
+        sums AS (SELECT table_id, row_idx, arg_min(v, col_idx) AS v FROM cells WHERE regexp_matches(col_path, '(?i)amount|outstanding|principal|balance') AND NOT regexp_matches(col_path, '(?i)matur|due|expir')
+                 AND NOT coalesce(is_total, false) GROUP BY ALL)
+        SELECT table_id, "year", sum(v::DECIMAL(28,6))::DOUBLE AS due, count(*) AS rows FROM sums JOIN due USING (table_id, row_idx) WHERE "year" <> '' GROUP BY ALL""",
+    "diligence_totals": _MORE_CELLS + f""",
         m AS (SELECT *, (coalesce(is_total, false) AND coalesce(regexp_matches(label, '^\\s*(?:grand\\s+)?total\\b', 'i'), false))::INT AS is_sum FROM cells),
         b AS (SELECT *, sum(is_sum) OVER (PARTITION BY table_id, col_idx ORDER BY row_idx) - is_sum AS block FROM m),
         s AS (SELECT table_id, col_idx::INT AS col_idx, block::BIGINT AS block, sum(v::DECIMAL(28,6)) FILTER (is_sum = 0 AND NOT coalesce(is_total, false) AND {_NUM})::DOUBLE AS expected,

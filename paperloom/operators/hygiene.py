@@ -199,6 +199,7 @@ QUERIES = {
 }
 
 
+from paperloom.operators.grids import _CELLS  # noqa: E402
 from paperloom.operators.retrieval import _ASKED, sql_tokens  # noqa: E402
 
 
@@ -252,6 +253,26 @@ ORACLE = {
     "audit_documents": """
         WITH a AS (SELECT DISTINCT audit_id, ts, event_name, TRY_CAST(ref_id AS BIGINT) AS doc_id FROM audit)
         SELECT doc_id, arg_max(event_name, (ts, audit_id)) AS last_event, count(*) AS events FROM a SEMI JOIN documents USING (doc_id) GROUP BY doc_id""",
+    "hygiene_cells": _CELLS + """ SELECT table_id, row_idx::INT AS row_idx, col_idx::INT AS col_idx, raw, chr(39) || raw AS safe FROM cells WHERE regexp_matches(raw, '^[=+\\-@\\t\\r]')""",
+    "hygiene_sanitise": """
+        WITH a AS (SELECT DISTINCT chunk_id, text, regexp_replace(text, '(?is)<script\\b[^>]*>.*?</script\\s*>', '[script removed]', 'g') AS s FROM chunks),
+        b AS (SELECT chunk_id, text, regexp_replace(s, '(?i)\\son[a-z]+\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', '', 'g') AS s FROM a),
+        c AS (SELECT chunk_id, text, regexp_replace(regexp_replace(s, '(?i)\\b(javascript|vbscript|data)\\s*:', 'blocked:', 'g'), '<([A-Za-z/!])', '&lt;\\1', 'g') AS s FROM b),
+        d AS (SELECT chunk_id, text, regexp_replace(s, '(?i)\\]\\(\\s*(?:javascript|vbscript|data|file)\\s*:[^)]*\\)', '](blocked:)', 'g') AS s FROM c)
+        SELECT chunk_id, length(s)::INT AS length, md5(s) AS digest FROM d WHERE s <> text""",
+    "hygiene_sentences": f"""
+        SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])[\\s\\x0b]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> ''))::INT AS sentences, len({sql_tokens("text")})::INT AS tokens,
+               floor(len(list_filter(string_split_regex(trim(text), '[\\s\\x0b]+'), lambda w: w <> '')) * 1.3::DOUBLE)::INT + 1 AS estimate FROM documents WHERE text IS NOT NULL""",
+    "metadata_periods": """
+        WITH h AS (SELECT DISTINCT chunk_id, coalesce(array_to_string(from_json(heading_json, '["VARCHAR"]'), ' '), '') AS h FROM chunks), c AS (SELECT DISTINCT chunk_id, heading_json, text FROM chunks),
+        y AS (SELECT regexp_extract(h, '(?i)\\bQ([1-4])\\s*(?:FY)?\\s*''?(\\d{4}|\\d{2})\\b', ['q', 'y']) AS a, regexp_extract(h, '(?i)\\bFY\\s*''?(\\d{4}|\\d{2})(?:\\s*[-/–]\\s*''?(\\d{4}|\\d{2}))?\\b', ['b', 'e']) AS f,
+                     regexp_extract(h, '\\b(20\\d{2})\\s*[-–/]\\s*(20\\d{2}|\\d{2})\\b', 2) AS s,
+                     regexp_extract(h, '(?i)(?:year|period|quarter)s?\\s+ended\\s+(?:on\\s+)?(?:\\d{1,2}(?:st|nd|rd|th)?\\s+)?(?:january|february|march|april|may|june|july|august|september|october|november|december)\\s*(?:\\d{1,2},?\\s*)?(20\\d{2})', 1) AS e,
+                     regexp_extract(h, '\\b(20[0-4]\\d)\\b', 1) AS n FROM h),
+        p AS (SELECT CASE WHEN a.q <> '' THEN 'Q' || a.q || 'FY' || CASE WHEN length(a.y) = 4 THEN a.y ELSE '20' || a.y END WHEN f.b <> '' THEN 'FY' || CASE WHEN length(CASE WHEN f.e <> '' THEN f.e ELSE f.b END) = 4
+                    THEN CASE WHEN f.e <> '' THEN f.e ELSE f.b END ELSE '20' || CASE WHEN f.e <> '' THEN f.e ELSE f.b END END WHEN s <> '' THEN 'FY' || CASE WHEN length(s) = 4 THEN s ELSE '20' || s END
+                    WHEN e <> '' THEN 'FY' || e WHEN n <> '' THEN 'FY' || n END AS period FROM y)
+        SELECT period, count(*) AS chunks FROM p WHERE period IS NOT NULL GROUP BY period""",
     "named_documents": f"""
         WITH w AS (SELECT doc_id, list_distinct(list_filter({sql_tokens("regexp_replace(regexp_replace(filename, '\\.[A-Za-z0-9]+$', ''), '[_-]', ' ', 'g')")},
                    lambda t: NOT regexp_matches(t, '^\\d+$|^(?:final|draft|copy|v1|v2)$'))) AS w FROM documents WHERE filename IS NOT NULL),

@@ -226,16 +226,28 @@ _BLOCKS = """
     b AS (SELECT doc_id, block_id, ord, json->>'type' AS type, json->>'content' AS content, (json->>'page')::INT AS page, (json->>'confidence')::DOUBLE AS confidence,
                  CASE WHEN json_type(json->'bbox') = 'ARRAY' THEN (json->'bbox')::DOUBLE[] END AS bbox FROM ok WHERE json->>'type' IS NOT NULL)"""
 _VALID = "coalesce(len(bbox) = 4 AND len(list_filter(bbox, lambda v: v >= 0 AND v <= 1)) = 4 AND bbox[1] < bbox[3] AND bbox[2] < bbox[4], false)"
-ORACLE = {
-    "layout_order": _BLOCKS + f""", body AS (SELECT doc_id, page, block_id, bbox[1] AS x0, bbox[3] AS x1 FROM b WHERE type NOT IN ('header', 'footer') AND {_VALID}),
+_ORDERED = (
+    _BLOCKS + f""", body AS (SELECT doc_id, page, block_id, bbox[1] AS x0, bbox[3] AS x1 FROM b WHERE type NOT IN ('header', 'footer') AND {_VALID}),
         gaps AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach,
                  row_number() OVER (PARTITION BY doc_id, page ORDER BY x0, block_id) - 1 AS nth, count(*) OVER (PARTITION BY doc_id, page) AS n FROM body WHERE x1 - x0 < 0.6),
         split AS (SELECT doc_id, page, arg_max((x0 + reach) / 2, (x0 - reach, -x0)) AS split FROM gaps WHERE x0 - reach >= 0.012 AND reach BETWEEN 0.2 AND 0.8 AND nth >= 2 AND n - nth >= 2 GROUP BY ALL),
         z AS (SELECT b.*, split, CASE type WHEN 'header' THEN 0 WHEN 'footer' THEN 2 ELSE 1 END AS zone,
                  CASE WHEN type IN ('header', 'footer') THEN 0 WHEN coalesce(bbox[1] < split AND bbox[3] > split, true) THEN 1 ELSE 0 END AS spans FROM b LEFT JOIN split USING (doc_id, page)),
-        s AS (SELECT *, sum(spans) OVER (PARTITION BY doc_id, page, zone ORDER BY bbox[2] NULLS LAST, bbox[1] NULLS LAST, ord, block_id) AS section FROM z)
-        SELECT doc_id, block_id, page, (row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS FIRST, zone, section, CASE WHEN spans = 1 THEN -1 WHEN bbox[1] >= split THEN 1 ELSE 0 END,
-               bbox[2] NULLS LAST, bbox[1] NULLS LAST, ord, block_id) - 1)::INT AS position FROM s""",
+        s AS (SELECT *, sum(spans) OVER (PARTITION BY doc_id, page, zone ORDER BY bbox[2] NULLS LAST, bbox[1] NULLS LAST, ord, block_id) AS section FROM z),
+        placed AS (SELECT doc_id, block_id, type, content, page, (row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS FIRST, zone, section, CASE WHEN spans = 1 THEN -1 WHEN bbox[1] >= split THEN 1 ELSE 0 END,
+               bbox[2] NULLS LAST, bbox[1] NULLS LAST, ord, block_id) - 1)::INT AS position FROM s)"""
+)
+ORACLE = {
+    "layout_order": _ORDERED + " SELECT doc_id, block_id, page, position FROM placed",
+    "layout_sections": _ORDERED + """, n AS (SELECT doc_id, sum((type = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY position)::BIGINT AS section,
+            len(list_filter(string_split_regex(coalesce(content, ''), '\\s+'), lambda w: w <> '')) AS words FROM placed)
+        SELECT doc_id, section, sum(words)::BIGINT AS words, count(*) AS blocks FROM n GROUP BY ALL""",
+    "layout_markdown": _ORDERED + """, h AS (SELECT doc_id, block_id, try_cast(json->'metadata'->>'heading_level' AS DOUBLE)::INT AS level FROM ok),
+        m AS (SELECT doc_id, position, page, CASE type WHEN 'heading' THEN repeat('#', greatest(1, least(6, coalesce(level, 1)))) || ' ' || content
+                  WHEN 'list' THEN regexp_replace(content, '(?m)^\\s*(?:[-•*]\\s*)?(\\S)', '- \\1', 'g') WHEN 'equation' THEN '$$' || chr(10) || content || chr(10) || '$$'
+                  WHEN 'figure' THEN '*' || content || '*' ELSE content END AS piece FROM placed JOIN h USING (doc_id, block_id) WHERE type NOT IN ('header', 'footer') AND trim(content) <> ''),
+        l AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY position) AS before FROM m)
+        SELECT doc_id, string_agg(CASE WHEN before <> page THEN '---' || chr(10) || chr(10) ELSE '' END || piece, chr(10) || chr(10) ORDER BY position) AS markdown, count(*) AS blocks FROM l GROUP BY doc_id""",
     "layout_filter": _BLOCKS + """ SELECT type, CASE WHEN confidence IS NULL THEN 'none' WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS band,
         count(*) AS blocks, count(DISTINCT doc_id) AS documents FROM b WHERE contains(lower(content), 'loan') GROUP BY ALL""",
     "layout_headings": _BLOCKS + f""", h AS (SELECT doc_id, block_id, round(bbox[4] - bbox[2], 3) AS height FROM b WHERE type = 'heading' AND {_VALID})

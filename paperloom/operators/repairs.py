@@ -187,7 +187,30 @@ QUERIES = {f.__name__: f for f in (repair_types, repair_flags, repair_repetition
 
 from paperloom.operators.grids import _CELLS, _FACTS  # noqa: E402
 
+
+
+def _type_scores() -> str:
+    parts = []
+    for n, (kind, pattern) in enumerate(TYPE_WORDS.items()):
+        score = f"len(regexp_extract_all(hay, '{pattern.replace(chr(39), chr(39) * 2)}'))"
+        if kind in NAME_WORDS:
+            score += f" + CASE WHEN regexp_matches(lower(name), '{NAME_WORDS[kind][0]}') THEN {NAME_WORDS[kind][1]} ELSE 0 END"
+        elif kind == "cim":
+            score += " + CASE WHEN regexp_matches(lower(name), '(?:^|[^a-z])cim(?:[^a-z]|$)') THEN 3 ELSE 0 END"
+        parts.append(f"{{'s': {score}, 'o': {-n}, 'k': '{kind}'}}")
+    return "list_max([" + ", ".join(parts) + "])"
+
+
+_KNOWN = "list_distinct(regexp_extract_all(lower(replace({0}, 'İ', 'i' || chr(775))), '\\p{{N}}[\\p{{N}}.,]*\\p{{N}}|[\\p{{L}}\\p{{N}}]+'))"
 ORACLE = {
+    "repair_types": f"""
+        WITH d AS (SELECT coalesce(filename, '') AS name, file_type, lower(concat_ws(' ', coalesce(filename, ''), text)) AS hay FROM documents), b AS (SELECT file_type, {_type_scores()} AS best FROM d)
+        SELECT CASE WHEN best.s >= 2 THEN best.k WHEN file_type = 'pptx' THEN 'presentation' WHEN file_type = 'xlsx' THEN 'spreadsheet' ELSE 'other' END AS kind, count(*) AS documents FROM b GROUP BY 1""",
+    "repair_recovery": f"""
+        WITH c AS (SELECT DISTINCT chunk_id, doc_id, text, embed_text FROM chunks WHERE kind = 'section'),
+        w AS (SELECT {_KNOWN.format("c.text")} AS a, {_KNOWN.format("c.embed_text")} AS b, {_KNOWN.format("d.text")} AS s FROM c JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL),
+        r AS (SELECT CASE WHEN len(a) > 0 THEN len(list_intersect(a, s)) / len(a) END AS a, CASE WHEN len(b) > 0 THEN len(list_intersect(b, s)) / len(b) END AS b FROM w)
+        SELECT CASE WHEN a >= 0.98 AND b >= 0.98 THEN 'both' WHEN b >= 0.98 THEN 'candidate' WHEN a >= 0.98 THEN 'original' ELSE 'inconclusive' END AS verdict, count(*) AS chunks FROM r GROUP BY 1""",
     "repair_spans": _CELLS + """, r AS (SELECT table_id, row_idx::INT AS row_idx, col_idx::INT AS col_idx, sum((raw IS NOT NULL)::INT) OVER (PARTITION BY table_id, row_idx ORDER BY col_idx) AS run FROM cells)
         SELECT table_id, row_idx, min(col_idx) AS col_idx, count(*) AS span FROM r WHERE run > 0 GROUP BY table_id, row_idx, run HAVING count(*) > 1""",
     "suggested_questions": _FACTS + """, newest AS (SELECT doc_id, concept, arg_max(period, substr(period, 3)::INT) AS period, max(substr(period, 3)::INT) AS k FROM facts GROUP BY ALL)

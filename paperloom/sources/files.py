@@ -155,5 +155,6 @@ def source_names(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"source_html_tables": source_html_tables, "source_envelope": source_envelope, "source_names": source_names}
 ORACLE = {
+    "source_envelope": "SELECT count(*) AS documents, count(text) AS restored FROM documents WHERE text IS NOT NULL",
     "source_names": """SELECT lower(split_part(split_part(filename, '/', -1), '.', -1)) AS extension, file_type, count(*) AS documents FROM documents WHERE filename IS NOT NULL GROUP BY ALL""",
 }
