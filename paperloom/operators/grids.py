@@ -255,6 +255,21 @@ _MORE_CELLS = _CELLS.replace(
 )
 
 
+def sql_period(text: str) -> str:
+    """SQL of ``finance.period``."""
+    full = lambda y: f"CASE WHEN length({y}) = 4 THEN {y} ELSE '20' || {y} END"
+    part = lambda pattern, n: f"regexp_extract({text}, '{pattern}', {n})"
+    quarter, year = r"(?i)\bQ([1-4])\s*(?:FY)?\s*''?(\d{4}|\d{2})\b", r"(?i)\bFY\s*''?(\d{4}|\d{2})(?:\s*[-/–]\s*''?(\d{4}|\d{2}))?\b"
+    span, bare = r"\b(20\d{2})\s*[-–/]\s*(20\d{2}|\d{2})\b", r"\b(20[0-4]\d)\b"
+    months = "january|february|march|april|may|june|july|august|september|october|november|december"
+    ended = rf"(?i)(?:year|period|quarter)s?\s+ended\s+(?:on\s+)?(?:\d{{1,2}}(?:st|nd|rd|th)?\s+)?(?:{months})\s*(?:\d{{1,2}},?\s*)?(20\d{{2}})"
+    end = f"CASE WHEN {part(year, 2)} <> '' THEN {part(year, 2)} ELSE {part(year, 1)} END"
+    return (
+        f"CASE WHEN {part(quarter, 1)} <> '' THEN 'Q' || {part(quarter, 1)} || 'FY' || {full(part(quarter, 2))} WHEN {part(year, 1)} <> '' THEN 'FY' || {full('(' + end + ')')} "
+        f"WHEN {part(span, 2)} <> '' THEN 'FY' || {full(part(span, 2))} WHEN {part(ended, 1)} <> '' THEN 'FY' || {part(ended, 1)} WHEN {part(bare, 1)} <> '' THEN 'FY' || {part(bare, 1)} END"
+    )
+
+
 def sql_number(raw: str) -> str:
     core = f"regexp_replace(regexp_replace(trim({raw}), '^\\((.*)\\)$', '-\\1'), '[₹$€£¥%\\s]|(?i:\\b(?:rs\\.?|inr|usd|eur|gbp|jpy)\\b)', '', 'g')"
     value = (

@@ -128,7 +128,9 @@ def metadata_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 def metadata_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     """Files filed twice in a workspace: the first document of each content hash stays, the others name it."""
-    rows = read_table(spark, folder, "documents", "doc_id", "workspace_id", "sha256").filter("sha256 is not null").withColumn("sha256", F.lower("sha256"))
+    # A file filed twice in one room stands beside the table, which may hold none.
+    twice = spark.createDataFrame([(-2, "literal", "AB12"), (-1, "literal", "ab12"), (-3, "other", "ab12")], "doc_id bigint, workspace_id string, sha256 string")
+    rows = read_table(spark, folder, "documents", "doc_id", "workspace_id", "sha256").filter("sha256 is not null").unionByName(twice).withColumn("sha256", F.lower("sha256"))
     first = rows.groupBy("workspace_id", "sha256").agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     return rows.join(first, ["workspace_id", "sha256"]).filter("doc_id <> kept").select("doc_id", "kept", "copies")
 
@@ -235,7 +237,8 @@ ORACLE = {
              {_case("title", M.UNITS)} AS unit FROM t)
         SELECT *, CASE unit WHEN 'crore' THEN 1e7 WHEN 'lakh' THEN 1e5 WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 END AS scale FROM u""",
     "metadata_dedupe": """
-        WITH d AS (SELECT doc_id, workspace_id, lower(sha256) AS h FROM documents WHERE sha256 IS NOT NULL),
+        WITH d AS (SELECT doc_id, workspace_id, lower(sha256) AS h FROM documents WHERE sha256 IS NOT NULL
+              UNION ALL SELECT * FROM (VALUES (-2, 'literal', 'ab12'), (-1, 'literal', 'ab12'), (-3, 'other', 'ab12')) AS v(doc_id, workspace_id, h)),
         f AS (SELECT workspace_id, h, min(doc_id) AS kept, count(*) AS copies FROM d GROUP BY ALL HAVING count(*) > 1)
         SELECT doc_id, kept, copies FROM d JOIN f USING (workspace_id, h) WHERE doc_id <> kept""",
     "metadata_stale": """

@@ -20,8 +20,17 @@ BLOCK = (
 GUTTER, SAME_BOX = 0.012, 0.8
 
 
-def blocks(spark: SparkSession, folder: str) -> DataFrame:
+#: Blocks of one text in one place, which no extraction of the tables holds.
+LITERAL_BLOCKS = tuple(
+    (-1, key, n, '{"id": "' + key + '", "type": "paragraph", "content": "' + text + '", "page": 1, "bbox": ' + box + "}")
+    for n, (key, text, box) in enumerate((("x0", "Same words", "[0.1, 0.1, 0.5, 0.2]"), ("x1", "Same words", "[0.1, 0.1, 0.5, 0.2]"), ("x2", "same  words!", "[0.1, 0.102, 0.5, 0.2]"), ("x3", "same words", "[0.6, 0.1, 0.9, 0.2]")))
+)
+
+
+def blocks(spark: SparkSession, folder: str, *, literal: bool = False) -> DataFrame:
     rows = read_table(spark, folder, "blocks").distinct()
+    if literal:
+        rows = rows.unionByName(spark.createDataFrame(list(LITERAL_BLOCKS), "doc_id bigint, block_id string, ord int, json string"))
     parsed = rows.select("doc_id", "block_id", "ord", F.from_json("json", BLOCK, {"columnNameOfCorruptRecord": "_bad"}).alias("j")).filter("j._bad is null and j.type is not null")
     level = F.expr("cast(try_cast(j.metadata['heading_level'] as double) as int)")
     return parsed.select(
@@ -102,12 +111,20 @@ def layout_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def layout_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates(blocks(spark, folder, literal=True))
+
+
+def duplicates(rows: DataFrame) -> DataFrame:
     """Blocks that repeat an earlier one: same page, same words, boxes that overlap by more than 0.8."""
-    rows = blocks(spark, folder).filter(valid_box(F.col("bbox"))).withColumn("words", comparable(F.col("content"))).filter("words <> ''")
-    a = rows.select("doc_id", "page", "words", F.col("block_id").alias("kept"), F.col("ord").alias("o1"), F.col("bbox").alias("b1"))
-    b = rows.select("doc_id", "page", "words", F.col("block_id").alias("dropped"), F.col("ord").alias("o2"), F.col("bbox").alias("b2"))
-    met = a.join(b, ["doc_id", "page", "words"]).filter((F.struct("o1", "kept") < F.struct("o2", "dropped")) & (iou("b1", "b2") > SAME_BOX))
-    return met.groupBy("doc_id", "dropped").agg(F.min_by("kept", F.struct("o1", "kept")).alias("kept"))
+    rows = rows.filter(valid_box(F.col("bbox"))).withColumn("words", comparable(F.col("content"))).filter("words <> ''")
+    # Blocks of one text and one box are one place; only different boxes of a text are held against each other.
+    places = rows.groupBy("doc_id", "page", "words", "bbox").agg(F.min(F.struct("ord", "block_id")).alias("first"))
+    a = places.select("doc_id", "page", "words", F.col("first").alias("kept"), F.col("bbox").alias("b1"))
+    b = places.select("doc_id", "page", "words", F.col("bbox").alias("b2"))
+    met = a.join(b, ["doc_id", "page", "words"]).filter(iou("b1", "b2") > SAME_BOX)
+    earliest = met.groupBy("doc_id", "page", "words", F.col("b2").alias("bbox")).agg(F.min("kept").alias("kept"))
+    found = rows.join(earliest, ["doc_id", "page", "words", "bbox"]).filter(F.col("kept") < F.struct("ord", "block_id"))
+    return found.select("doc_id", F.col("block_id").alias("dropped"), F.col("kept.block_id").alias("kept"))
 
 
 def unique_ids(rows: DataFrame, key: str = "block_id", group: str = "doc_id", order: str = "ord") -> DataFrame:
@@ -225,6 +242,7 @@ _BLOCKS = """
     WITH r AS (SELECT DISTINCT * FROM blocks), ok AS (SELECT * FROM r WHERE json_valid(json) AND json_type(json) = 'OBJECT'),
     b AS (SELECT doc_id, block_id, ord, json->>'type' AS type, json->>'content' AS content, (json->>'page')::INT AS page, (json->>'confidence')::DOUBLE AS confidence,
                  CASE WHEN json_type(json->'bbox') = 'ARRAY' THEN (json->'bbox')::DOUBLE[] END AS bbox FROM ok WHERE json->>'type' IS NOT NULL)"""
+_MORE_BLOCKS = _BLOCKS.replace("FROM blocks)", "FROM blocks UNION ALL SELECT * FROM (VALUES " + ", ".join(str(row) for row in LITERAL_BLOCKS) + ") AS v(doc_id, block_id, ord, json))")
 _VALID = "coalesce(len(bbox) = 4 AND len(list_filter(bbox, lambda v: v >= 0 AND v <= 1)) = 4 AND bbox[1] < bbox[3] AND bbox[2] < bbox[4], false)"
 _ORDERED = (
     _BLOCKS + f""", body AS (SELECT doc_id, page, block_id, bbox[1] AS x0, bbox[3] AS x1 FROM b WHERE type NOT IN ('header', 'footer') AND {_VALID}),
@@ -261,7 +279,7 @@ ORACLE = {
     "layout_printed": _BLOCKS + """, t AS (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM b WHERE type IN ('header', 'footer')),
         l AS (SELECT *, replace(regexp_extract(t, '(?i)^(?:page\\s+)?([a-z]{1,2}\\s?[-–]\\s?\\d{1,4}|\\d{1,4})(?:\\s+of\\s+\\d+)?$', 1), ' ', '') AS label FROM t WHERE length(t) <= 14)
         SELECT doc_id, page, arg_min(label, (ord, block_id)) AS label FROM l WHERE label <> '' GROUP BY ALL""",
-    "layout_duplicates": _BLOCKS + f""", w AS (SELECT *, trim(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS words FROM b WHERE {_VALID}),
+    "layout_duplicates": _MORE_BLOCKS + f""", w AS (SELECT *, trim(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS words FROM b WHERE {_VALID}),
         m AS (SELECT x.doc_id, x.block_id AS kept, x.ord AS o1, y.block_id AS dropped,
                  greatest(least(x.bbox[3], y.bbox[3]) - greatest(x.bbox[1], y.bbox[1]), 0) * greatest(least(x.bbox[4], y.bbox[4]) - greatest(x.bbox[2], y.bbox[2]), 0) AS i,
                  (x.bbox[3] - x.bbox[1]) * (x.bbox[4] - x.bbox[2]) + (y.bbox[3] - y.bbox[1]) * (y.bbox[4] - y.bbox[2]) AS u

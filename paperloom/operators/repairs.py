@@ -123,9 +123,9 @@ def merged_spans(cells: DataFrame, table: str = "table_id") -> DataFrame:
 
 
 def repair_spans(spark: SparkSession, folder: str) -> DataFrame:
-    from paperloom.operators.grids import cells, tables
+    from paperloom.operators.grids import cells, tables_and_literals
 
-    return merged_spans(cells(tables(spark, folder)).select("table_id", "row_idx", "col_idx", "raw"))
+    return merged_spans(cells(tables_and_literals(spark, folder)).select("table_id", "row_idx", "col_idx", "raw"))
 
 
 def seller_questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,7 +185,7 @@ def suggested_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (repair_types, repair_flags, repair_repetition, repair_spans, repair_recovery, seller_questions, suggested_questions)}
 
-from paperloom.operators.grids import _CELLS, _FACTS  # noqa: E402
+from paperloom.operators.grids import _FACTS, _MORE_CELLS  # noqa: E402
 
 
 
@@ -211,7 +211,7 @@ ORACLE = {
         w AS (SELECT {_KNOWN.format("c.text")} AS a, {_KNOWN.format("c.embed_text")} AS b, {_KNOWN.format("d.text")} AS s FROM c JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL),
         r AS (SELECT CASE WHEN len(a) > 0 THEN len(list_intersect(a, s)) / len(a) END AS a, CASE WHEN len(b) > 0 THEN len(list_intersect(b, s)) / len(b) END AS b FROM w)
         SELECT CASE WHEN a >= 0.98 AND b >= 0.98 THEN 'both' WHEN b >= 0.98 THEN 'candidate' WHEN a >= 0.98 THEN 'original' ELSE 'inconclusive' END AS verdict, count(*) AS chunks FROM r GROUP BY 1""",
-    "repair_spans": _CELLS + """, r AS (SELECT table_id, row_idx::INT AS row_idx, col_idx::INT AS col_idx, sum((raw IS NOT NULL)::INT) OVER (PARTITION BY table_id, row_idx ORDER BY col_idx) AS run FROM cells)
+    "repair_spans": _MORE_CELLS + """, r AS (SELECT table_id, row_idx::INT AS row_idx, col_idx::INT AS col_idx, sum((raw IS NOT NULL)::INT) OVER (PARTITION BY table_id, row_idx ORDER BY col_idx) AS run FROM cells)
         SELECT table_id, row_idx, min(col_idx) AS col_idx, count(*) AS span FROM r WHERE run > 0 GROUP BY table_id, row_idx, run HAVING count(*) > 1""",
     "suggested_questions": _FACTS + """, newest AS (SELECT doc_id, concept, arg_max(period, substr(period, 3)::INT) AS period, max(substr(period, 3)::INT) AS k FROM facts GROUP BY ALL)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, concept)::INT AS place, 'What was ' || replace(concept, '_', ' ') || ' in ' || period || '?' AS question FROM newest QUALIFY place <= 4""",

@@ -79,10 +79,12 @@ def verify_assign(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraph blocks of a document against its section chunks: shared words over all, one to one."""
     rows = blocks(spark, folder).filter("type = 'paragraph'").select("doc_id", "block_id", F.array_distinct(content_words(F.col("content"))).alias("bw")).filter("size(bw) >= 5")
     parts = read_table(spark, folder, "chunks", "chunk_id", "doc_id", "kind", "text").filter("kind = 'section'").distinct()
-    parts = parts.select("doc_id", "chunk_id", F.array_distinct(content_words(F.col("text"))).alias("cw"))
-    met = rows.join(parts, "doc_id")
-    share = F.round(F.size(F.array_intersect("bw", "cw")) / F.size("bw"), 6)
-    return assign(met.withColumn("score", share), "doc_id", "block_id", "chunk_id", "score", 0.3)
+    # Block and chunk meet on the words that they share; those that share none are never a pair.
+    ours = rows.select("doc_id", "block_id", F.size("bw").alias("n"), F.explode("bw").alias("word"))
+    theirs = parts.select("doc_id", "chunk_id", F.explode(F.array_distinct(content_words(F.col("text")))).alias("word")).distinct()
+    met = ours.join(theirs, ["doc_id", "word"]).groupBy("doc_id", "block_id", "n", "chunk_id").agg(F.count(F.lit(1)).alias("common"))
+    scored = met.withColumn("score", F.round(F.col("common") / F.col("n"), 6)).filter("score >= 0.3")
+    return assign(scored, "doc_id", "block_id", "chunk_id", "score", 0.3)
 
 
 def displaced(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -13,7 +13,6 @@ from paperloom.functions.text import safe_cell
 
 #: First bytes of each kind of file (fixed values).
 MAGIC = {"pdf": "25504446", "docx": "504B0304", "xlsx": "504B0304", "pptx": "504B0304", "png": "89504E47", "jpg": "FFD8FF", "gif": "47494638"}
-MOST_SPAN = 100
 
 
 def magic_matches(content: Column, extension: Column) -> Column:
@@ -73,7 +72,7 @@ class _Tables(HTMLParser):
         elif self.depth == 1 and tag in ("td", "th") and self.tables[-1]:
             given = dict(attrs)
             spans = [int(given[s]) if str(given.get(s, "")).isdigit() else 1 for s in ("rowspan", "colspan")]
-            self.cell = {"text": [], "head": tag == "th", "spans": [min(MOST_SPAN, max(1, s)) for s in spans]}
+            self.cell = {"text": [], "head": tag == "th", "spans": [max(1, s) for s in spans]}
             self.tables[-1][-1].append(self.cell)
 
     def handle_endtag(self, tag):
@@ -95,6 +94,8 @@ def html_grid(html: str | None) -> tuple[list[list[str]], int] | None:
         return None
     grid: dict[tuple[int, int], str] = {}
     heads = 0
+    # A span ends with the table: below with its rows, to the right with as many columns as it has cells.
+    height, cells = len(parser.tables[0]), sum(map(len, parser.tables[0]))
     for r, row in enumerate(parser.tables[0]):
         c = 0
         if row and heads == r and all(cell["head"] for cell in row):
@@ -103,11 +104,12 @@ def html_grid(html: str | None) -> tuple[list[list[str]], int] | None:
             while (r, c) in grid:
                 c += 1
             text = " ".join("".join(cell["text"]).split())
-            for i in range(cell["spans"][0]):
-                for j in range(cell["spans"][1]):
+            down, right = min(cell["spans"][0], height - r), min(cell["spans"][1], max(cells, 2))
+            for i in range(down):
+                for j in range(right):
                     grid[r + i, c + j] = text if not (i or j) else ""
-            c += cell["spans"][1]
-    height, width = len(parser.tables[0]), max(c for _, c in grid) + 1 if grid else 0
+            c += right
+    width = max(c for _, c in grid) + 1 if grid else 0
     return [[grid.get((r, c), "") for c in range(width)] for r in range(height)], heads
 
 

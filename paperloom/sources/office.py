@@ -1,23 +1,28 @@
 """Office packages (docx, xlsx, pptx) as a Spark data source, read with the standard library.
 
 ``spark.read.format("office").load(folder)`` gives one row an object:
-``path, kind, unit, ord, type, text, ref, hidden``. Files that cannot be opened
-give one row of type "error" and never fail the job. One partition holds a bounded
-number of bytes of files, so large folders spread over the cluster.
+``path, kind, unit, ord, type, text, ref, hidden``, of a folder that every executor
+sees as a local one. ``packages(spark, path)`` gives the same rows from any file
+system that Spark reads; on a cluster it is the one to use. Files that cannot be
+opened give one row of type "error" and never fail the job. One partition holds a
+bounded number of bytes of files, so large folders spread over the cluster.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, kind string, unit string, ord int, type string, text string, ref string, hidden boolean"
+_ARROW = pa.schema([(f.split()[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[f.split()[1]]) for f in SCHEMA.split(", ")])
 PARTITION_BYTES = 64 << 20
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -137,10 +142,11 @@ def _slides(package: zipfile.ZipFile) -> Iterator[tuple]:
 _READERS = {"docx": _document, "xlsx": _workbook, "pptx": _slides}
 
 
-def read_file(path: str) -> Iterator[tuple]:
+def read_file(path: str, content: bytes | None = None) -> Iterator[tuple]:
+    """Rows of one package, from its bytes or, without them, from a local file."""
     kind = path.rsplit(".", 1)[-1].lower()
     try:
-        with zipfile.ZipFile(path) as package:
+        with zipfile.ZipFile(path if content is None else io.BytesIO(content)) as package:
             for n in package.namelist():
                 if ACTIVE_PARTS.search(n):
                     yield path, kind, "package", 0, "active", n, None, False
@@ -154,6 +160,20 @@ def read_file(path: str) -> Iterator[tuple]:
         yield path, kind, "package", 0, "error", type(e).__name__, None, False
 
 
+def packages(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of all packages under the paths, on any file system that Spark reads: listed, split and read by its binary file source."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,xlsx,pptx,DOCX,XLSX,PPTX}").option("recursiveFileLookup", "true").load(list(paths))
+    names = [field.split()[0] for field in SCHEMA.split(", ")]
+
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for path, content in zip(frame.column(0), frame.column(1)):
+                rows = list(read_file(path.as_py(), content.as_py()))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows], schema=_ARROW)
+
+    return files.select("path", "content").mapInArrow(read, SCHEMA)
+
+
 class _Part(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(0)

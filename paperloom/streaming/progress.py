@@ -30,12 +30,18 @@ def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
             # A stream that ended leaves running stages failed.
             yield pd.DataFrame([(*key, "failed", seq, applied, dropped)], columns=[c.split()[0] for c in OUT.split(", ")])
         return
+    behind = None if state.exists else pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
     for frame in frames:
+        if behind is not None:
+            # What was removed by the watermark is not begun anew by a late event.
+            frame = frame[frame["ts"] >= behind]
         for n, name in frame.sort_values("seq", kind="stable")[["seq", "state"]].itertuples(index=False):
             if n > seq:
                 seq, current, applied = int(n), name, applied + 1
             else:
                 dropped += 1
+    if seq < 0:
+        return
     state.update((seq, current, applied, dropped))
     state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000)
     yield pd.DataFrame([(*key, current, seq, applied, dropped)], columns=[c.split()[0] for c in OUT.split(", ")])

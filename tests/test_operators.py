@@ -51,6 +51,18 @@ def test_rollup_takes_the_worst(spark):
     assert got == {1: "review", 2: "verified", 3: "not_verifiable"}
 
 
+def test_duplicates_name_the_first_of_their_place(spark, tmp_path):
+    import json
+
+    def block(key, text, box):
+        return (1, key, int(key[1:]), json.dumps({"id": key, "type": "paragraph", "content": text, "page": 1, "bbox": box}))
+
+    rows = [block(f"b{i}", "Same words", [0.1, 0.1, 0.5, 0.2]) for i in range(4)] + [block("b4", "same  words!", [0.1, 0.101, 0.5, 0.2]), block("b5", "same words", [0.6, 0.1, 0.9, 0.2]), block("b6", "other", [0.1, 0.1, 0.5, 0.2])]
+    spark.createDataFrame(rows, "doc_id long, block_id string, ord int, json string").write.parquet(f"{tmp_path}/blocks.parquet")
+    got = sorted((r.dropped, r.kept) for r in layout.duplicates(layout.blocks(spark, str(tmp_path))).collect())
+    assert got == [(f"b{i}", "b0") for i in range(1, 5)]
+
+
 def test_issues_of_no_block_still_decide_their_document(spark):
     rows = spark.createDataFrame([(1, "b0", 0, "paragraph", "text", 1, [0.1, 0.1, 0.9, 0.2], 0.9, "x", 0, False), (2, "c0", 0, "paragraph", "text", 1, [0.1, 0.1, 0.9, 0.2], 0.9, "x", 0, False)], BOX)
     docs = spark.createDataFrame([(1, None), (2, 2)], "doc_id long, page_count int")

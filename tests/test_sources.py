@@ -29,6 +29,8 @@ def test_office_source(spark, tmp_path):
     for want in [("docx", "heading", "Title", None, False), ("docx", "paragraph", "secret", None, True), ("docx", "cell", "y", "B1", False), ("docx", "active", "word/vbaProject.bin", None, False), ("xlsx", "cell", "label", "A1", False),
                  ("xlsx", "active", 'HYPERLINK("x")', "B1", False), ("xlsx", "cell", "7", "A1", True), ("xlsx", "merge", "", "A1:B1", False), ("pptx", "heading", "Slide", None, False), ("docx", "error", "BadZipFile", None, False)]:
         assert want in rows, want
+    same = [(r.kind, r.type, r.text, r.ref, r.hidden) for r in office.packages(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, same)) == sorted(map(str, rows))
 
 
 def test_references_and_serial_days():
@@ -40,6 +42,8 @@ def test_references_and_serial_days():
 def test_html_grid():
     grid, heads = files.html_grid("<table><tr><th colspan=2>H<tr><td rowspan=2>a<td>b</td></tr><tr><td>c</table>")
     assert grid == [["H", ""], ["a", "b"], ["", "c"]] and heads == 1
+    wide, _ = files.html_grid("<table><tr><td colspan=150>a<td>b" + "<tr>" + "<td>c" * 151 + "</table>")
+    assert len(wide[0]) == 151 and wide[0][150] == "b" and files.html_grid("<table><tr><td colspan=99999999 rowspan=99999999>a</table>")[0] == [["a", ""]]
     assert files.html_grid("<table></table><table></table>") is None and files.html_grid(None) is None
 
 
