@@ -97,18 +97,29 @@ class PieceEncoder:
         return [ranks[p] for p in parts if p is not None]
 
 
-@lru_cache(maxsize=4)
+def ranks_of(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in raw.splitlines() if line)}
+
+
+def read_vocabulary(folder: str, vocabulary: str) -> bytes:
+    with open(f"{folder}/{vocabulary}.tiktoken", "rb") as file:
+        return file.read()
+
+
 def load_ranks(folder: str, vocabulary: str) -> dict[bytes, int]:
-    with open(f"{folder}/{vocabulary}.tiktoken", "rb") as lines:
-        return {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in lines)}
+    return ranks_of(read_vocabulary(folder, vocabulary))
 
 
-@lru_cache(maxsize=4)
 def text_encoder(folder: str, vocabulary: str) -> Callable[[str | None], list[int]]:
+    return encoder_of(read_vocabulary(folder, vocabulary))
+
+
+@lru_cache(maxsize=4)
+def encoder_of(raw: bytes) -> Callable[[str | None], list[int]]:
     import regex
 
     pieces = regex.compile(PATTERN).findall
-    encode = PieceEncoder(load_ranks(folder, vocabulary)).encode
+    encode = PieceEncoder(ranks_of(raw)).encode
     memo: dict[str, list[int]] = {}
 
     def run(text: str | None) -> list[int]:
@@ -137,8 +148,11 @@ def encode_texts(
     kind = dict(source.dtypes)[key]
     result = "n_tokens int" if counts_only else "ids array<int>"
 
+    # The driver reads the vocabulary (a file of fixed size, about 1 MB); executors need no copy of it on their disks.
+    shipped = df.sparkSession.sparkContext.broadcast(read_vocabulary(folder, vocabulary))
+
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = text_encoder(folder, vocabulary)
+        run = encoder_of(shipped.value)
         for frame in frames:
             texts = frame.column(1)
             # Batches are cut so that one with very long texts stays small in memory.

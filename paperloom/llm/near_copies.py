@@ -16,6 +16,9 @@ Popcounts alone cannot block at a similarity this low (see README), hence the
 rare shingle in the grid. Equal sets are one class before the join and expanded
 after it, so copies cost one comparison and no pair is lost.
 
+A class of n copies is n * (n - 1) / 2 pairs of ``p2_found`` by definition; where a
+text may fill a large part of the collection, ask ``p2_classes``.
+
 Defined cases: null texts and texts under three words have no shingle and no
 partner; exact copies of a row count once.
 """
@@ -153,14 +156,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a section chunk: its class of equal shingle sets and the number of other classes it is linked to."""
+    """One row a section chunk: its class and the number of other classes it is linked to.
+
+    This is the form for groups of copies: a class counts once however many members it
+    has. Texts without shingles are classes of equal texts (null: one class), with 0 links.
+    """
     chunks = read_table(spark, folder, "chunks", "chunk_id", "kind", "text").filter("kind = 'section'")
     members, sets = classes(chunks, "chunk_id", "text")
     links = similar_classes(sets)
     ends = links.select(F.col("class_a").alias("class_id")).unionAll(links.select(F.col("class_b").alias("class_id")))
-    return members.join(ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links")), "class_id", "left").select(
-        "chunk_id", "class_id", F.coalesce("links", F.lit(0)).alias("links")
-    )
+    linked = members.join(ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links")), "class_id", "left")
+    short = chunks.filter(F.col("text").isNull() | (F.size(split_words(F.col("text"))) < WORDS))
+    short = short.select("chunk_id", F.concat(F.lit("short:"), F.coalesce(F.sha2("text", 256), F.lit("null"))).alias("class_id")).distinct()
+    return linked.select("chunk_id", "class_id", F.coalesce("links", F.lit(0)).alias("links")).unionByName(short.withColumn("links", F.lit(0).cast("bigint")))
 
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes}
