@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("paperloom.operators.retrieval", "paperloom.operators.grids", "paperloom.plans.table_plan", "paperloom.operators.layout", "paperloom.operators.verification", "paperloom.operators.chunking", "paperloom.operators.repairs", "paperloom.operators.hygiene", "paperloom.operators.evaluation", "paperloom.sources.files", "paperloom.streaming.progress", "paperloom.operators.units", "paperloom.operators.claims", "paperloom.operators.tables_check")
+MODULES: tuple[str, ...] = ("paperloom.operators.retrieval", "paperloom.operators.grids", "paperloom.plans.table_plan", "paperloom.operators.layout", "paperloom.operators.verification", "paperloom.operators.chunking", "paperloom.operators.repairs", "paperloom.operators.hygiene", "paperloom.operators.evaluation", "paperloom.sources.files", "paperloom.streaming.progress", "paperloom.operators.units", "paperloom.operators.claims", "paperloom.operators.tables_check", "paperloom.operators.pages")
 
 
 def _gather(what: str) -> dict:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import STOP_WORDS, index_words, sentences, stem, tokens
-from paperloom.sources.tables import exists, fingerprint, read_table, shared_folder
+from paperloom.sources.tables import exists, fingerprint, read_table, shared_checkpoint, shared_folder
 
 # Depths of the cascade and constants of the scores.
 RETRIEVE, RERANK, FINAL, PROMPT, RRF = 40, 14, 6, 4, 60
@@ -104,10 +104,10 @@ def inverse_frequency(n: Column, df: Column) -> Column:
 def bm25(index: Index, asked: DataFrame) -> DataFrame:
     """``question_id, chunk_id, score`` of every chunk with a score over 0."""
     wanted = question_terms(asked)
-    # One row of corpus statistics.
+    # One row of corpus statistics. The questions' terms get their weights before they meet the postings, which are then moved only once.
     weights = index.frequency(wanted).crossJoin(F.broadcast(index.corpus()))
     weights = weights.select("term", "mean_length", inverse_frequency(F.col("n"), F.col("df")).alias("idf"))
-    scored = index.met(wanted).join(weights, "term")
+    scored = index.met(wanted.join(weights, "term"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     return scored.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
 
@@ -149,12 +149,13 @@ def retrieval_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    lexical = top(bm25(Index(spark, folder), questions(spark, folder)), RETRIEVE).select("question_id", "chunk_id", "rank")
+    # A few rows a question, used for its stand-in vector and for the fusion.
+    lexical = shared_checkpoint(top(bm25(Index(spark, folder), questions(spark, folder)), RETRIEVE).select("question_id", "chunk_id", "rank"))
     vectors = chunks(spark, folder, "embedding").filter(usable(F.col("embedding"))).select("chunk_id", F.col("embedding").cast("array<double>").alias("v"))
     # No embedding model here: the best lexical chunk with a vector stands for the question (pseudo-relevance).
     first = lexical.join(vectors, "chunk_id").groupBy("question_id").agg(F.min_by("v", "rank").alias("v"))
     points = vectors.withColumnRenamed("chunk_id", "id")
-    dense = dense_scores(points, first.withColumnRenamed("question_id", "query_id"), k=RETRIEVE)
+    dense = dense_scores(points, shared_checkpoint(first.withColumnRenamed("question_id", "query_id")), k=RETRIEVE)
     dense = top(dense, RETRIEVE, "query_id", "id").select(F.col("query_id").alias("question_id"), F.col("id").alias("chunk_id"), "rank")
     return top(fused(lexical.unionByName(dense)), RERANK)
 
