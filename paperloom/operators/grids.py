@@ -226,13 +226,8 @@ def correction_effect(rows: DataFrame, table_id: str, row_idx: int, col_idx: int
 
 
 def diligence_correction(spark: SparkSession, folder: str) -> DataFrame:
-    """Effect of doubling the first value of the first table."""
-    rows = cells(tables(spark, folder))
-    first = rows.filter("v is not null").agg(F.min(F.struct("table_id", "row_idx", "col_idx", "v")).alias("f")).head()
-    if first is None or first["f"] is None:
-        return spark.createDataFrame([], "what string, item string, change string")
-    f = first["f"]
-    return correction_effect(rows, f["table_id"], f["row_idx"], f["col_idx"], 2 * f["v"])
+    """Effect of one corrected cell (Facility A of the literal debt schedule, 50 to 60) among all tables."""
+    return correction_effect(cells(tables_and_literals(spark, folder)), "literal-debt", 0, 1, 60.0)
 
 
 QUERIES = {
@@ -338,3 +333,9 @@ ORACLE = {
               UNION SELECT workspace_id, regexp_replace(regexp_extract(left(ltrim(t, E' \\n\\t'), 60), '^((?:schedule|annexure|annex|exhibit|appendix)\\s+(?:[0-9]+|[a-z]))\\b', 1), '\\s+', ' ', 'g') FROM r)
         SELECT workspace_id, label, citations FROM c ANTI JOIN p USING (workspace_id, label)""",
 }
+_AFTER = ORACLE["diligence_totals"].replace('{"raw": "50.0", "v": 50.0}', '{"raw": "60.0", "v": 60.0}')
+_STATE = "SELECT 'total' AS what, concat_ws('|', table_id, col_idx, block) AS item FROM ({0}) WHERE NOT holds"
+ORACLE["diligence_correction"] = (
+    f"WITH before AS ({_STATE.format(ORACLE['diligence_totals'])}), after AS ({_STATE.format(_AFTER)}) "
+    "SELECT what, item, 'new' AS change FROM (FROM after EXCEPT FROM before) UNION ALL SELECT what, item, 'resolved' FROM (FROM before EXCEPT FROM after)"
+)
