@@ -59,8 +59,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        place = f"{shared_folder(spark)}/index-{fingerprint(spark, f'{folder}/chunks.parquet')}"
-        self.path = place if "://" in place else f"file://{place}"
+        self.path = f"{shared_folder(spark)}/index-{fingerprint(spark, f'{folder}/chunks.parquet')}"
         # The last part is written last: an index that broke off is written anew.
         if not exists(spark, f"{self.path}/corpus/_SUCCESS"):
             self._write(chunks(spark, folder, "text", "embed_text"))

@@ -59,7 +59,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local session without one gets its own, a cluster without one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
+    if named or (named := spark.sparkContext.getCheckpointDir()):
         return named
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
