@@ -11,9 +11,10 @@ patterns, and discounts functions that err together; only those patterns (at mos
 to the number of functions) reach the driver. A pair keeps every defect whose
 posterior passes its cutoff.
 
-The language profiles are fitted on a bounded sample of rows (``SAMPLE_ROWS``) whose
-language the function words show; word counts cover all answers. The cutoffs were
-chosen on answers damaged on purpose (tests/llm/test_answers.py, figures there).
+The language profiles are counted over all questions and answers whose language the
+function words show, word counts over all answers. Up to ``BROADCAST_GRAMS`` trigrams the
+profiles go to every task; beyond, the trigrams of the texts are joined with them. The
+cutoffs were chosen on answers damaged on purpose (tests/llm/test_answers.py, figures there).
 
 Defined cases: a null answer is empty; a null question never counts as copied and
 has no language; ``abstained`` is one weak witness of refusals and may be null;
@@ -37,9 +38,9 @@ FOR, AGAINST, ABSTAIN = "1", "2", "0"
 #: Middles of the ranges in which no other cutoff finds more of the damaged answers with fewer errors.
 CUTOFFS = {"empty": 0.3, "truncated": 0.2, "refusal": 0.5, "copies_question": 0.5, "other_language": 0.5}
 ROUNDS = 60
-#: Bounded sample for the language profiles, and texts a language needs for one.
-SAMPLE_ROWS = 4_000
+#: Texts a language needs for a profile, and trigrams up to which a task holds all of them.
 LEAST_TEXTS = 20
+BROADCAST_GRAMS = 100_000
 
 # Labels before an answer, refusals, months, units and function words of four languages.
 LABEL = re.compile(r"^\W*(?:answer|a|ans|antwort|réponse|respuesta|response|reply)\s*[:：]\s*", re.I)
@@ -145,38 +146,43 @@ def _hinted(text: str, words: list[str]) -> str | None:
     return best[0][0] if len(best) == 1 or best[0][1] > best[1][1] else None
 
 
+def trigrams(text: str) -> list[str]:
+    flat = " " + " ".join(w for w in re.findall(r"[^\W\d_]+", text.lower())) + " "
+    return [flat[i : i + 3] for i in range(len(flat) - 2)]
+
+
+def likeliest(languages: list[str], sums: np.ndarray, known: float, every: float) -> tuple[str | None, float]:
+    """Likeliest language and its lead over the next in nats a trigram; None for texts of few trigrams, or many unknown ones."""
+    if known < max(12, 0.7 * every) or len(languages) < 2:
+        return None, 0.0
+    mean = sums / known
+    best, second = np.argsort(-mean)[:2]
+    return languages[best], float(mean[best] - mean[second])
+
+
 class Profiles:
-    """Letter trigrams of each language, learned from texts whose language their function words show."""
-
-    def __init__(self, texts: list[str]):
-        counts: dict[str, Counter] = {lang: Counter() for lang in _OWN}
-        seen = Counter()
-        for text in texts:
-            words = [w.lower() for w in _WORD.findall(text)]
-            lang, margin = _language(words)
-            if margin >= 2:
-                seen[lang] += 1
-                counts[lang].update(self.grams(text))
-        self.languages = [lang for lang in counts if seen[lang] >= LEAST_TEXTS]
-        every = sorted(set().union(*(counts[lang] for lang in self.languages)))
-        self.place = {g: i for i, g in enumerate(every)}
-        table = np.array([[counts[lang][g] + 0.5 for g in every] for lang in self.languages]).reshape(len(self.languages), -1)
-        self.logs = np.log(table / table.sum(1, keepdims=True)) if table.size else table
+    """Letter trigrams of each language with the logarithms of their shares, all in memory."""
 
-    @staticmethod
-    def grams(text: str) -> list[str]:
-        flat = " " + " ".join(w for w in re.findall(r"[^\W\d_]+", text.lower())) + " "
-        return [flat[i : i + 3] for i in range(len(flat) - 2)]
+    def __init__(self, languages: list[str], table: pd.DataFrame):
+        self.languages = languages
+        self.place = {g: i for i, g in enumerate(table["gram"])}
+        self.logs = np.array(table["logs"].tolist(), float).reshape(len(table), len(languages)).T
 
     def guess(self, text: str) -> tuple[str | None, float]:
-        """Likeliest language and its lead over the next in nats a trigram; None for texts of few trigrams, or many unknown ones."""
-        grams = self.grams(text)
+        grams = trigrams(text)
         at = [self.place[g] for g in grams if g in self.place]
-        if len(at) < max(12, 0.7 * len(grams)) or len(self.languages) < 2:
-            return None, 0.0
-        mean = self.logs[:, at].mean(1)
-        best, second = np.argsort(-mean)[:2]
-        return self.languages[best], float(mean[best] - mean[second])
+        return likeliest(self.languages, self.logs[:, at].sum(1), len(at), len(grams))
+
+
+class Told:
+    """Guesses from joined sums (all trigrams, known ones, logarithms by language) of a question and an answer."""
+
+    def __init__(self, languages: list[str], held: dict[str | None, np.ndarray | None]):
+        self.languages, self.held = languages, held
+
+    def guess(self, text: str) -> tuple[str | None, float]:
+        held = self.held[text]
+        return (None, 0.0) if held is None else likeliest(self.languages, held[2:], held[1], held[0])
 
 
 _LABEL_WORDS = frozenset("answer a ans antwort réponse respuesta response reply".split())
@@ -245,7 +251,7 @@ def vote_copy(question: str | None, answer: str | None, new: float | None = None
     return a + b + c
 
 
-def vote_language(question: str | None, answer: str | None, profiles: Profiles | None = None) -> str:
+def vote_language(question: str | None, answer: str | None, profiles: Profiles | Told | None = None) -> str:
     """Function words; months, units, endings and letters; the letter-trigram profile."""
     text = _strip(answer)
     asked = [w.lower() for w in _WORD.findall(question or "")]
@@ -352,31 +358,92 @@ def evidence(df: DataFrame) -> DataFrame:
     )
 
 
-def fit_profiles(df: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Profiles:
-    """Profiles from the questions and answers of a bounded sample drawn by hash (``sample_rows`` on average)."""
-    rate = int(min(1.0, sample_rows / max(1, df.count())) * (1 << 30))
-    drawn = df.filter(F.pmod(F.xxhash64(*_KEY, F.lit(3)), F.lit(1 << 30)) < rate).select("question", "answer").toPandas()
-    return Profiles(sorted(t for c in drawn.columns for t in drawn[c] if isinstance(t, str)))
+def gram_counts(df: DataFrame, most_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """``gram`` and its number in the questions and answers of each language; the empty gram numbers the texts themselves.
+
+    All texts whose language their function words show; a task holds some ``most_grams`` counts and passes them on.
+    """
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for frame in frames:
+            for text, n in frame.itertuples(index=False):
+                lang, margin = _language([w.lower() for w in _WORD.findall(text)])
+                if margin >= 2:
+                    counts[lang, ""] += n
+                    for gram, k in Counter(trigrams(text)).items():
+                        counts[lang, gram] += k * n
+                if len(counts) > most_grams:
+                    yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["lang", "gram", "n"])
+                    counts.clear()
+        yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["lang", "gram", "n"])
+
+    texts = df.select(F.explode(F.array("question", "answer")).alias("text")).filter("text is not null")
+    # Copies are counted before the shuffle and read once.
+    parts = texts.groupBy("text").agg(F.count(F.lit(1)).alias("n")).mapInPandas(run, "lang string, gram string, n bigint")
+    return parts.groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(lang) for lang in _OWN))
+
+
+def fit_profiles(df: DataFrame, most_grams: int = BROADCAST_GRAMS) -> tuple[list[str], DataFrame, int]:
+    """Languages of enough texts, ``gram, logs`` (smoothed share in each of them) from all questions and answers, number of its rows."""
+    counts = shared_checkpoint(gram_counts(df, most_grams))
+    texts = counts.filter("gram = ''").first()
+    languages = [lang for lang in _OWN if texts and texts[lang] >= LEAST_TEXTS]
+    held = F.lit(False)
+    for lang in languages:
+        held |= F.col(lang) > 0
+    grams = counts.filter((F.col("gram") != "") & held)
+    size = grams.agg(F.count(F.lit(1)).alias("rows"), *(F.sum(lang).alias(lang) for lang in languages)).first()
+    logs = [F.log((F.col(lang) + 0.5) / F.lit((size[lang] or 0) + 0.5 * size["rows"])) for lang in languages]
+    return languages, grams.select("gram", F.array(*logs).cast("array<double>").alias("logs")), size["rows"]
+
+
+def joined_sums(df: DataFrame, languages: list[str], table: DataFrame) -> DataFrame:
+    """``asked, id, held``: trigrams of every question and answer, those in the profiles, and their logarithms by language."""
 
-def votes(df: DataFrame) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for frame in frames:
+            for asked, text, key in frame.itertuples(index=False):
+                rows += [(asked, key, gram, k) for gram, k in Counter(trigrams(text if asked else _strip(text))).items()]
+                if len(rows) > BROADCAST_GRAMS:
+                    yield pd.DataFrame(rows, columns=["asked", "id", "gram", "k"])
+                    rows = []
+        yield pd.DataFrame(rows, columns=["asked", "id", "gram", "k"])
+
+    sides = F.array(*(F.struct(F.lit(c == "question").alias("asked"), F.col(c).alias("text")) for c in ("question", "answer")))
+    texts = df.select(F.inline(sides)).filter("text is not null").distinct().withColumn("id", F.sha2("text", 256))
+    pieces = texts.mapInPandas(run, "asked boolean, id string, gram string, k bigint").join(table, "gram", "left")
+    known = F.sum(F.when(F.col("logs").isNotNull(), F.col("k")).otherwise(0))
+    sums = [F.coalesce(F.sum(F.col("k") * F.col("logs")[i]), F.lit(0.0)) for i in range(len(languages))]
+    return pieces.groupBy("asked", "id").agg(F.array(F.sum("k").cast("double"), known.cast("double"), *sums).alias("held"))
+
+
+def votes(df: DataFrame, most_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """``qa_id, side, qtype, defect, pattern``: five rows an answer."""
-    profiles = fit_profiles(df)
+    languages, table, size = fit_profiles(df, most_grams)
+    profiles = Profiles(languages, table.toPandas()) if size <= most_grams else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for key, side, kind, question, answer, abstained, new, shared, ends, known in frame.itertuples(index=False):
+            for key, side, kind, question, answer, abstained, new, shared, ends, known, *held in frame.itertuples(index=False):
                 answer = answer if isinstance(answer, str) else None
                 question = question if isinstance(question, str) else None
+                knows = profiles or Told(languages, {question: held[0], _strip(answer): held[1]})
                 for defect, pattern in (
                     ("empty", vote_empty(answer)), ("truncated", vote_truncated(answer, ends, known)), ("refusal", vote_refusal(answer, abstained, shared)),
-                    ("copies_question", vote_copy(question, answer, new)), ("other_language", vote_language(question, answer, profiles)),
+                    ("copies_question", vote_copy(question, answer, new)), ("other_language", vote_language(question, answer, knows)),
                 ):
                     rows.append((key, side, kind, defect, pattern))
             yield pd.DataFrame(rows, columns=["qa_id", "side", "qtype", "defect", "pattern"])
 
     told = df.join(evidence(df), _KEY, "left").select("qa_id", "side", "qtype", "question", "answer", "abstained", "new", "shared", "ends", "known")
+    if profiles is None:
+        sums = joined_sums(df, languages, table)
+        for asked, text, name in ((True, "question", "asked_held"), (False, "answer", "said_held")):
+            part = sums.filter(F.col("asked") == asked).select("id", F.col("held").alias(name))
+            told = told.withColumn("id", F.sha2(text, 256)).join(part, "id", "left").drop("id")
     return told.mapInPandas(run, "qa_id bigint, side string, qtype string, defect string, pattern string")
 
 

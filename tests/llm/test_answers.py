@@ -140,3 +140,26 @@ def test_query_handles_nulls_copies_and_unanswerable(spark, tmp_path):
     spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/rag_eval_nollm.parquet")
     got = sorted(map(tuple, A.p5_found(spark, str(tmp_path)).collect()))
     assert got == [(90, "baseline", "empty"), (90, "deallens", "refusal"), (91, "baseline", "empty"), (92, "baseline", "empty"), (92, "deallens", "empty")]
+
+
+def test_language_profiles_count_all_rows_by_either_join(spark):
+    """6 French questions among 6,000 show both sides 24 French texts, of which a sample of rows sees too few."""
+    kind = "qa_id long, qtype string, question string, baseline struct<text:string>, deallens struct<text:string,abstained:boolean>"
+    english = [(i, f"What was the net debt of the company in the year {i}?", f"The net debt of the company was USD {i} for the year.") for i in range(6000)]
+    french = [(7000 + i, f"Quel est le montant de la dette dans les comptes {i} ?", f"Le montant de la dette est dans les comptes avec une note {i}.") for i in range(6)]
+    odd = [(8000, "What was the net debt of the company?", "montant comptes dette montant note comptes"), (8001, None, ""), (8002, "", None)]
+    rag = spark.createDataFrame([(i, "lookup", q, (a,), (a, False)) for i, q, a in english + french + odd], kind)
+    answers = A.answers(rag)
+    by_broadcast, by_shuffle = (sorted(map(tuple, A.votes(answers, n).collect())) for n in (A.BROADCAST_GRAMS, 5))
+    assert by_broadcast == by_shuffle and len(by_broadcast) == 6009 * 2 * 5
+    # Words of no list: only the trigram profile of the French texts tells their language.
+    assert {p for i, *_, d, p in by_broadcast if i == 8000 and d == "other_language"} == {"001"}
+    texts = [t for _, q, a in english + french + odd for t in (q, a) * 2 if t]
+    want = Counter()
+    for t in texts:
+        lang, margin = A._language([w.lower() for w in A._WORD.findall(t)])
+        want.update((lang, g) for g in ["", *A.trigrams(t)] if margin >= 2)
+    for n in (A.BROADCAST_GRAMS, 5):
+        got = A.gram_counts(answers, n).toPandas()
+        assert {(c, g): k for c in A._OWN for g, k in zip(got["gram"], got[c]) if k} == dict(want)
+    assert want["fr", ""] == 24
