@@ -58,7 +58,7 @@ def test_odd_rows_as_in_sql(spark, odd, monkeypatch, name):
     assert len(got) > 0 and sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["retrieval_bm25"])
+@pytest.mark.parametrize("name", ["retrieval_bm25", "retrieval_coverage"])
 def test_every_question_is_asked(spark, odd, name):
     got = {r.question_id for r in QUERIES[name](spark, odd).select("question_id").distinct().collect()}
     assert {1, 5, 50, 140} <= got and len(got) > 50
