@@ -16,7 +16,7 @@ def shuffled(spark):
     return sum(e.totalShuffleWrite() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
 
 
-@pytest.mark.parametrize(("name", "most"), [("retrieval_bm25", 1.5), ("retrieval_hybrid", 4), ("verify_claims", 1.5)])
+@pytest.mark.parametrize(("name", "most"), [("retrieval_bm25", 1.5), ("retrieval_coverage", 1.5), ("retrieval_hybrid", 4), ("verify_claims", 1.5)])
 def test_less_is_moved_than_read(spark, tmp_path, name, most):
     size = 0
     for table in ("chunks", "rag_eval_nollm"):
