@@ -16,7 +16,7 @@ def shuffled(spark):
     return sum(e.totalShuffleWrite() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
 
 
-@pytest.mark.parametrize(("name", "most"), [("retrieval_bm25", 1.5), ("retrieval_coverage", 1.5), ("retrieval_filtered", 1.5), ("retrieval_hybrid", 4), ("verify_claims", 1.5)])
+@pytest.mark.parametrize(("name", "most"), [("retrieval_bm25", 1.5), ("retrieval_coverage", 1.5), ("retrieval_filtered", 1.5), ("retrieval_sentences", 2.5), ("retrieval_hybrid", 4), ("verify_claims", 1.5)])
 def test_less_is_moved_than_read(spark, tmp_path, name, most):
     size = 0
     for table in ("chunks", "rag_eval_nollm"):
@@ -58,7 +58,7 @@ def test_odd_rows_as_in_sql(spark, odd, monkeypatch, name):
     assert len(got) > 0 and sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["retrieval_bm25", "retrieval_coverage", "retrieval_filtered"])
+@pytest.mark.parametrize("name", ["retrieval_bm25", "retrieval_coverage", "retrieval_filtered", "retrieval_sentences"])
 def test_every_question_is_asked(spark, odd, name):
     got = {r.question_id for r in QUERIES[name](spark, odd).select("question_id").distinct().collect()}
     assert {1, 5, 50, 140} <= got and len(got) > 50
